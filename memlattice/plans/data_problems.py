@@ -68,7 +68,7 @@ found AS (
 _P3 = f"""
 WITH ch AS (
   SELECT {key('entity_type')} AS entity_type, {key('entity_id')} AS entity_id, {key('node_id')} AS node_id,
-         {key('operation')} AS op, map_from_entries(list_sort(map_entries(vector_clock))) AS c, min(sequence) AS sequence, min(changed_at) AS ts, min(payload) AS payload
+         {key('operation')} AS op, map_from_entries(list_sort(list_filter(map_entries(vector_clock), lambda e: e.value > 0))) AS c, min(sequence) AS sequence, min(changed_at) AS ts, min(payload) AS payload
   FROM journal WHERE entity_type IS NOT NULL AND entity_id IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
 roles AS (
   SELECT *, 'all' AS part FROM ch UNION ALL SELECT *, op FROM ch WHERE op <> 'update'),
