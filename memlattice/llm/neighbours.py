@@ -28,7 +28,7 @@ class Index:
     books: np.ndarray
 
 
-def fit(vectors: DataFrame, lists: int, parts: int = 24, codes: int = 256, dim: int = DIM, seed: int = 7) -> Index:
+def fit(vectors: DataFrame, lists: int, parts: int = 48, codes: int = 256, dim: int = DIM, seed: int = 7) -> Index:
     """Fit on the FIT_ROWS vectors with the smallest hash of their id (a bounded sample on the driver)."""
     rows = vectors.select("vec", F.xxhash64("id").alias("h")).orderBy("h", "vec").limit(FIT_ROWS).toArrow()
     rng = np.random.default_rng(seed)
@@ -121,7 +121,7 @@ def _search(index: Index, k: int, least: float, rerank: int, dim: int):
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 5, least: float = 0.5, lists: int | None = None, probes: int = 4, rerank: int = 64, dim: int = DIM) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, least: float = 0.5, lists: int | None = None, probes: int = 6, rerank: int = 256, dim: int = DIM) -> DataFrame:
     """(id, neighbour, cosine, rank): for every vector of (id, vec) its ``k`` most similar
     others by cosine rounded to 6 digits, then by smaller id; only cosines of ``least`` or more.
 
