@@ -89,10 +89,18 @@ def _search(index: Index, k: int, least: float, rerank: int, dim: int):
             near += tables[:, p][:, base["codes"][:, p]]
         m = min(rerank, n)
         top = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < n else np.broadcast_to(np.arange(n), near.shape)
-        exact = np.round(np.matmul(base["x8"][top], q8[:, :, None])[:, :, 0], 6)
-        for i, me in enumerate(ids):
-            hits = [(-c, base["ids"][j]) for c, j in zip(exact[i].tolist(), top[i].tolist()) if c >= least and base["ids"][j] != me]
-            out.extend((me, other, -c) for c, other in sorted(hits)[:k])
+        # single precision over the block, then double for all that may be among the k best
+        rough = np.take_along_axis(q @ base["x4"].T, top, axis=1)
+        bar = np.partition(rough, -min(k + 1, m), axis=1)[:, -min(k + 1, m)] - 4e-6
+        row, col = np.nonzero(rough >= np.maximum(bar, least - 4e-6)[:, None])
+        pick = top[row, col]
+        exact = np.round(np.einsum("ij,ij->i", q8[row], base["x8"][pick]), 6)
+        best: dict[int, list] = {}
+        for i, j, c in zip(row.tolist(), pick.tolist(), exact.tolist()):
+            if c >= least and base["ids"][j] != ids[i]:
+                best.setdefault(i, []).append((-c, base["ids"][j]))
+        for i, hits in best.items():
+            out.extend((ids[i], other, -c) for c, other in sorted(hits)[:k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, base = None, {}
@@ -110,7 +118,7 @@ def _search(index: Index, k: int, least: float, rerank: int, dim: int):
                     key, base = now, {}
                 if kinds[a] == 0:
                     codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), "u1").reshape(-1, parts)
-                    new = {"ids": part.column("id").to_pylist(), "x8": x8, "codes": codes}
+                    new = {"ids": part.column("id").to_pylist(), "x8": x8, "x4": x8.astype("f4"), "codes": codes}
                     base = {c: base[c] + new[c] if c == "ids" else np.concatenate([base[c], new[c]]) for c in new} if base else new
                 elif base:
                     for i in range(0, len(x8), 256):

@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
-from memlattice.llm import clusters, neighbours, vectors
+from pyspark.sql import functions as F
+
+from memlattice.llm import clusters, cooccurrence, mixture, neighbours, splitting, tokens, vectors
 from memlattice.sources.tables import read
 
 
+def _pieces(spark, d):
+    return splitting.split(read(spark, d, "chunks"), read(spark, d, "chunk_options"))
+
+
+def p1_found(spark, d):
+    return _pieces(spark, d).where("n_pieces > 1").groupBy("owner_id", "idx").agg(F.max("n_pieces").alias("n")).select("owner_id", "idx")
+
+
+def p1_pieces(spark, d):
+    return _pieces(spark, d)
+
+
+def p1_report(spark, d):
+    return splitting.boundary_report(_pieces(spark, d))
+
+
 def p4_found(spark, d):
     return clusters.similarity_clusters(read(spark, d, "neurons"))[0].select("cluster_id", "neuron_id")
 
@@ -14,6 +32,29 @@ def p4_clusters(spark, d):
     return clusters.describe(*clusters.similarity_clusters(read(spark, d, "neurons")))
 
 
+def _scores(spark, d):
+    return cooccurrence.count_pairs(read(spark, d, "neuron_list")).scores(least=5)
+
+
+def p5_found(spark, d):
+    return cooccurrence.together(_scores(spark, d)).select("tag_a", "tag_b")
+
+
+def p5_scores(spark, d):
+    return _scores(spark, d).withColumn("lift", F.round("lift", 6)).withColumn("pmi", F.round("pmi", 6))
+
+
+def p5_incremental(spark, d):
+    """The older half of the items first, then the rest and every changed basket as signed deltas."""
+    rows = read(spark, d, "neuron_list")
+    full = cooccurrence.baskets(rows)
+    old = cooccurrence.baskets(rows.where("created_at < timestamp_ntz'2025-06-01 00:00:00'"))
+    table = cooccurrence.PairTable(spark)
+    table.merge(cooccurrence.changes(None, old))
+    table.merge(cooccurrence.changes(old, full))
+    return table.scores(least=5).select("tag_a", "tag_b", "n_ab", "n_a", "n_b", "n_items")
+
+
 def _p7(spark, d):
     return neighbours.nearest(vectors.usable_neurons(read(spark, d, "neurons")))
 
@@ -26,5 +67,54 @@ def p7_neighbours(spark, d):
     return _p7(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_clusters, p7_found, p7_neighbours)}
-SQL: dict[str, str] = {}
+def p8_ids(spark, d):
+    return tokens.encode(read(spark, d, "documents"), "doc_id")
+
+
+def p8_report(spark, d):
+    return tokens.token_report(tokens.encode_states(read(spark, d, "documents"), "doc_id"))
+
+
+def p9_mixture(spark, d):
+    return mixture.mix(read(spark, d, "documents"), read(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark, d):
+    return mixture.mix(read(spark, d, "documents"), read(spark, d, "mix_targets"))[1]
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_pieces, p1_report, p4_found, p4_clusters, p5_found, p5_scores, p5_incremental, p7_found, p7_neighbours, p8_ids, p8_report, p9_mixture, p9_shares)
+}
+
+
+def key(x: str) -> str:
+    return f"lower(trim({x}, ' ' || chr(9) || chr(10) || chr(13)))"
+
+
+_P5 = f"""
+WITH rows AS (
+  SELECT {key('id')} AS item, unnest(tags) AS t FROM neuron_list WHERE id IS NOT NULL),
+clean AS (
+  SELECT DISTINCT item, {key('t')} AS tag FROM rows WHERE t IS NOT NULL AND {key('t')} <> ''),
+total AS (SELECT count(DISTINCT item) AS n_items FROM clean),
+single AS (SELECT tag, count(*) AS n FROM clean GROUP BY 1),
+pair AS (
+  SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS n_ab FROM clean a JOIN clean b ON a.item = b.item AND a.tag < b.tag GROUP BY 1, 2),
+scored AS (
+  SELECT tag_a, tag_b, n_ab, x.n AS n_a, y.n AS n_b, n_items
+  FROM pair JOIN single x ON x.tag = tag_a JOIN single y ON y.tag = tag_b, total WHERE n_ab >= 5)
+"""
+
+SQL: dict[str, str] = {
+    "p1_found": f"""
+WITH o AS (SELECT {key('profile')} AS p, max(chunk_size) AS s FROM chunk_options GROUP BY 1)
+SELECT DISTINCT {key('owner_id')} AS owner_id, idx FROM chunks c LEFT JOIN o ON o.p = {key('c.profile')}
+WHERE octet_length(chunk_data) > coalesce(o.s, (SELECT s FROM o WHERE p = 'default'))""",
+    "p5_found": _P5 + "SELECT tag_a, tag_b FROM scored WHERE n_items * n_ab >= 4 * n_a * n_b",
+    "p5_scores": _P5
+    + """SELECT tag_a, tag_b, n_ab, n_a, n_b, n_items, round(n_items * n_ab / (n_a::DOUBLE * n_b), 6) AS lift,
+         round(log2(n_items * n_ab / (n_a::DOUBLE * n_b)), 6) AS pmi FROM scored""",
+    "p5_incremental": _P5 + "SELECT tag_a, tag_b, n_ab, n_a, n_b, n_items FROM scored",
+}
