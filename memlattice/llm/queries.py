@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memlattice.llm import clusters, cooccurrence, mixture, neighbours, splitting, tokens, vectors
+from memlattice.llm import clusters, cooccurrence, mixture, nearduplicates, neighbours, splitting, tokens, vectors
 from memlattice.sources.tables import read
 
 
@@ -55,6 +55,23 @@ def p5_incremental(spark, d):
     return table.scores(least=5).select("tag_a", "tag_b", "n_ab", "n_a", "n_b", "n_items")
 
 
+def _alike(spark, d):
+    return {
+        "chunk": nearduplicates.similar_texts(read(spark, d, "chunks")),
+        "embedding": nearduplicates.similar_vectors(read(spark, d, "neurons")),
+    }
+
+
+def p6_found(spark, d):
+    parts = [nearduplicates.tagged(kind, nearduplicates.all_pairs(*found)) for kind, found in _alike(spark, d).items()]
+    return parts[0].unionByName(parts[1])
+
+
+def p6_groups(spark, d):
+    parts = [nearduplicates.tagged(kind, nearduplicates.groups(*found)) for kind, found in _alike(spark, d).items()]
+    return parts[0].unionByName(parts[1])
+
+
 def _p7(spark, d):
     return neighbours.nearest(vectors.usable_neurons(read(spark, d, "neurons")))
 
@@ -85,7 +102,7 @@ def p9_shares(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p1_report, p4_found, p4_clusters, p5_found, p5_scores, p5_incremental, p7_found, p7_neighbours, p8_ids, p8_report, p9_mixture, p9_shares)
+    for f in (p1_found, p1_pieces, p1_report, p4_found, p4_clusters, p5_found, p5_scores, p5_incremental, p6_found, p6_groups, p7_found, p7_neighbours, p8_ids, p8_report, p9_mixture, p9_shares)
 }
 
 
