@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memlattice.llm import clusters, cooccurrence, mixture, nearduplicates, neighbours, splitting, tokens, vectors
+from memlattice.llm import clusters, cooccurrence, garbled, mixture, nearduplicates, neighbours, splitting, tokens, vectors
 from memlattice.sources.tables import read
 
 
@@ -100,9 +100,25 @@ def p9_shares(spark, d):
     return mixture.mix(read(spark, d, "documents"), read(spark, d, "mix_targets"))[1]
 
 
+def _p10(spark, d):
+    return garbled.garbled(read(spark, d, "documents"))
+
+
+def p10_found(spark, d):
+    return _p10(spark, d).select("doc_id")
+
+
+def p10_restored(spark, d):
+    return _p10(spark, d)
+
+
+def p10_report(spark, d):
+    return garbled.garble_report(_p10(spark, d))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p1_report, p4_found, p4_clusters, p5_found, p5_scores, p5_incremental, p6_found, p6_groups, p7_found, p7_neighbours, p8_ids, p8_report, p9_mixture, p9_shares)
+    for f in (p1_found, p1_pieces, p1_report, p4_found, p4_clusters, p5_found, p5_scores, p5_incremental, p6_found, p6_groups, p7_found, p7_neighbours, p8_ids, p8_report, p9_mixture, p9_shares, p10_found, p10_restored, p10_report)
 }
 
 
