@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("data_problems",)
+_MODULES = ("data_problems", "vectors")
 
 
 def collect() -> tuple[dict, dict]:
