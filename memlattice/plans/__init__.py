@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("data_problems", "vectors")
+_MODULES = ("data_problems", "vectors", "texts")
 
 
 def collect() -> tuple[dict, dict]:

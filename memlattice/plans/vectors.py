@@ -35,16 +35,16 @@ def similar_to(spark, d):
 
 
 def duplicate_probe(spark, d):
-    """K5 at 0.9: the best match of each queried record, if close enough."""
+    """K5 at 0.5: the best match of each queried record, if close enough."""
     e = _e(spark, d)
     found = similarity.search(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 1)
-    return similarity.duplicates(found, 0.9).select("id", "duplicate_of", F.round("score", 6).alias("score"))
+    return similarity.duplicates(found, 0.5).select("id", "duplicate_of", F.round("score", 6).alias("score"))
 
 
 def semantic_edges(spark, d):
-    """Links of the queried records with their top 20 of similarity 0.7 or more, both ways."""
+    """Links of the queried records with their top 20 of similarity 0.4 or more, both ways."""
     e = _e(spark, d)
-    found = similarity.search(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 20, 0.7)
+    found = similarity.search(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 20, 0.4)
     return similarity.semantic_edges(found).select("source", "target", F.round("weight", 6).alias("weight"), "edge_type")
 
 
@@ -186,13 +186,13 @@ def kmeans_sizes(spark, d):
 
 
 def dbscan(spark, d):
-    """Z2 with eps 0.35 and 4 rows."""
-    return clustering.dbscan(_e(spark, d), "vec_id", "embedding", 0.35, 4)
+    """Z2 with eps 0.55 and 4 rows."""
+    return clustering.dbscan(_e(spark, d), "vec_id", "embedding", 0.55, 4)
 
 
 def single_linkage(spark, d):
-    """Z3, single, cut at 0.6."""
-    return clustering.single_linkage(_e(spark, d), "vec_id", "embedding", 0.6)
+    """Z3, single, cut at 0.5."""
+    return clustering.single_linkage(_e(spark, d), "vec_id", "embedding", 0.5)
 
 
 def hierarchical(spark, d):
@@ -255,9 +255,9 @@ SQL = {
     "vector_topk": f"""SELECT b.vec_id, round({COS}, 6) AS score, round(1 - {COS}, 6) AS distance FROM embeddings a, embeddings b
         WHERE a.vec_id = 0 ORDER BY {COS} DESC, b.vec_id LIMIT 10""",
     "similar_to": _TOP + "SELECT id, other, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
-    "duplicate_probe": _TOP + "SELECT id, other AS duplicate_of, round(score, 6) AS score FROM r WHERE rank = 1 AND score >= 0.9",
+    "duplicate_probe": _TOP + "SELECT id, other AS duplicate_of, round(score, 6) AS score FROM r WHERE rank = 1 AND score >= 0.5",
     "semantic_edges": _TOP
-    + """, k AS (SELECT * FROM r WHERE rank <= 20 AND score >= 0.7)
+    + """, k AS (SELECT * FROM r WHERE rank <= 20 AND score >= 0.4)
       SELECT source, target, round(max(w), 6) AS weight, 'SEMANTIC' AS edge_type FROM (
         SELECT id AS source, other AS target, score AS w FROM k UNION ALL SELECT other, id, score FROM k) GROUP BY 1, 2""",
     "vector_suite": f"""SELECT b.vec_id, round(sqrt(list_dot_product(b.{CAST}, b.{CAST})), 6) AS norm,
