@@ -76,11 +76,12 @@ def progress(ticks: DataFrame, session: str = "session", at: str = "ts", current
     rate = (F.col(current) - F.lag(current).over(w)) / F.greatest(F.lit(1e-3), sec(at) - F.lag(sec(at)).over(w))
     t = ticks.withColumn("_rate", rate).withColumn("_last", F.collect_list("_rate").over(w.rowsBetween(-4, 0)))
     weights = F.transform("_last", lambda x, i: F.pow(F.lit(2.0), i))
-    mean = F.aggregate(F.zip_with("_last", weights, lambda x, v: x * v), F.lit(0.0), lambda s, x: s + x) / F.aggregate(weights, F.lit(0.0), lambda s, x: s + x)
+    mean = F.try_divide(F.aggregate(F.zip_with("_last", weights, lambda x, v: x * v), F.lit(0.0), lambda s, x: s + x), F.aggregate(weights, F.lit(0.0), lambda s, x: s + x))
     elapsed = sec(at) - F.first(sec(at)).over(w)
     t = t.withColumn("percent", F.when(F.col(total) > 0, F.least(F.lit(100.0), F.col(current) / F.col(total) * 100)).otherwise(0.0))
-    t = t.withColumn("throughput", F.when(elapsed > 0, F.col(current) / elapsed).otherwise(0.0))
-    return t.withColumn("eta_seconds", F.when(mean > 0, F.greatest(F.lit(0.0), F.col(total) - F.col(current)) / mean)).drop("_rate", "_last")
+    t = t.withColumn("throughput", F.coalesce(F.try_divide(F.col(current), F.nullif(elapsed, F.lit(0.0))), F.lit(0.0)))
+    t = t.withColumn("_mean", F.when(F.size("_last") > 0, mean))
+    return t.withColumn("eta_seconds", F.try_divide(F.greatest(F.lit(0.0), F.col(total) - F.col(current)), F.when(F.col("_mean") > 0, F.col("_mean")))).drop("_mean").drop("_rate", "_last")
 
 
 def working_set(events: DataFrame, session: str = "user_id", item: str = "event_type", n: int = WORKING_SET) -> DataFrame:

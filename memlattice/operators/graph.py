@@ -90,7 +90,7 @@ def ordered_paths(edges: DataFrame, starts: DataFrame, depth: int, walk: Callabl
         for s, t, w in zip(ordered.source_id, ordered.target_id, ordered.weight):
             out.setdefault(s, []).append((t, float(w)))
         rows = walk(out, key[0], depth)
-        return pd.DataFrame({"start": [key[0]] * len(rows), "path": [p for p, _ in rows], "total_weight": [w for _, w in rows]})
+        return pd.DataFrame({"start": pd.Series([key[0]] * len(rows), dtype=object), "path": pd.Series([p for p, _ in rows], dtype=object), "total_weight": pd.Series([w for _, w in rows], dtype="f8")})
 
     near = neighbourhood(edges, starts, depth)
     return near.groupBy("start").applyInPandas(run, "start string, path array<string>, total_weight double")
