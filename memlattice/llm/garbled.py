@@ -215,7 +215,7 @@ def to_bytes(s: str, wrong: str) -> bytes | None:
 
 def inverses(s: str) -> Iterator[tuple[str, str, str]]:
     """(restored, wrong, right) for every inverse mapping that ``s`` allows and that changes it."""
-    seen = set()
+    seen, told = set(), {s}
     for wrong in WRONG:
         raw = to_bytes(s, wrong)
         if raw is None or raw in seen:
@@ -228,7 +228,8 @@ def inverses(s: str) -> Iterator[tuple[str, str, str]]:
                 t = raw.decode(right)
             except UnicodeDecodeError:
                 continue
-            if t != s:
+            if t not in told:
+                told.add(t)
                 yield t, wrong, right
 
 
