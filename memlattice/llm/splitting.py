@@ -106,27 +106,46 @@ def pieces(data: bytes, size: int, overlap: int) -> list[tuple[int, int, int]]:
         if found:
             return found
         count += max(1, count // 16)
+        if count > n:  # characters too wide for this overlap
+            if not overlap:
+                return _greedy(places, n, size)
+            overlap //= 2
+            count = -(-(n - overlap) // (size - overlap))
+
+
+def _greedy(places: Boundaries, n: int, size: int) -> list[tuple[int, int, int]]:
+    """Full pieces without overlap, for limits of a few bytes; a limit below a character's width cuts it."""
+    out, at = [], 0
+    while n - at > size:
+        end, kind = places.character(at + size, at + 1, at + size)
+        out.append((at, end, kind))
+        at = end
+    return [*out, (at, n, -1)]
 
 
 def _attempt(places: Boundaries, n: int, size: int, overlap: int, count: int) -> list[tuple[int, int, int]] | None:
     """Pieces around ``count`` balanced targets, or None if a limit fails."""
     step = (n - overlap) / count
     slack = max(4, int(SLACK * step))
-    out, start = [], 0
+    out, start, last = [], 0, 0
     for k in range(count - 1):
         target = int(overlap + (k + 1) * step)
         high = min(start + size, target + slack, n - 1)
-        low = max(start + overlap + 1, start + 1, target - slack)
+        low = max(start + overlap + 1, last + 1, target - slack)
         if low > high:
             if start + size < low and step > 8:
                 return None
-            low = min(start + 1, n - 1)
-            high = max(low, min(start + size, n - 1))
+            low, high = last + 1, min(start + size, n - 1)
+            if low > high:
+                return None
         target = min(max(target, low), high)
         end, strength = places.strongest(target, low, high) or places.character(target, low, high)
+        if places.text and strength == 6:  # no character ends near the target
+            end, strength = places.character(target, last + 1, min(start + size, n - 1))
+            if strength == 6:
+                return None
         out.append((start, end, strength))
-        if end >= n:
-            return out
+        last = end
         start = _begin(places, end, overlap, start)
         if end - start >= size:
             return None
