@@ -62,3 +62,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def kept(df: DataFrame) -> DataFrame:
     """Persist for repeated passes; lost blocks are computed again."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores: a few large files would else keep
+    an expensive Python stage on as few tasks. Larger inputs stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
