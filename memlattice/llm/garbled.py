@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlattice.session import materialize
+from memlattice.session import materialize, spread
 
 #: Pairs seen less often than this share of all pairs count as unseen: at most 2**22 pairs are kept
 #: (16 bytes each), so the tables that every task gets have a proven bound.
@@ -160,7 +160,7 @@ class PairModel:
 
 def pair_model(documents: DataFrame, text: str = "text") -> PairModel:
     """Counts over all documents; pairs within sequences that are plainly garbled aren't counted as evidence."""
-    counted = documents.select(text).mapInArrow(_count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counted = spread(documents.select(text)).mapInArrow(_count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     counted = materialize(counted, "pairs")
     total = counted.agg(F.sum("n")).first()[0] or 0
     rows = counted.where(F.col("n") >= FLOOR * total).toArrow()
@@ -259,16 +259,21 @@ class Finder:
     def __init__(self, model: PairModel):
         self.model = model
         self.known: dict[tuple[str, str], float] = {}
+        most = model.counts.max(initial=0.0)
+        one = max(0.1, model.singles.max(initial=0.0)) / model.total
+        self.top = math.log(0.9 * most / model.total + 0.1 * one * one + 1e-12)  # no pair is likelier
         self.tried: dict[tuple[str, str, str], tuple[str, str, str] | None] = {}
 
-    def mean(self, before: str, s: str, after: str) -> float:
-        """Mean log-likelihood of the pairs of ``s`` and its neighbours."""
+    def mean(self, before: str, s: str, after: str, least: float = -math.inf) -> float:
+        """Mean log-likelihood of the pairs of ``s`` and its neighbours; -inf as soon as it can't exceed ``least``."""
         s = before + s + after
         if len(s) < 2:
             return 0.0
         if len(s) > MEMO:
             return float(self.model.likelihood(_code_points(s)).mean())
-        total, known = 0.0, self.known
+        total, known, top = 0.0, self.known, self.top
+        # what the sum may still lose against the likeliest pair throughout
+        spare = (top - least) * (len(s) - 1)
         for pair in zip(s, s[1:]):
             x = known.get(pair)
             if x is None:
@@ -276,6 +281,9 @@ class Finder:
                     known.clear()
                 x = known[pair] = self.model.pair_likelihood(ord(pair[0]), ord(pair[1]))
             total += x
+            spare -= top - x
+            if spare < 0:
+                return -math.inf
         return total / (len(s) - 1)
 
     def best(self, text: str, a: int, z: int) -> tuple[str, str, str] | None:
@@ -300,7 +308,7 @@ class Finder:
                     continue
                 gain, t = inner
             else:
-                gain = self.mean(before, t, after)
+                gain = self.mean(before, t, after, least)
             if gain > least:
                 found, least = (t, wrong, right), gain
         if found and not found[0].isascii():
@@ -426,7 +434,7 @@ def garbled(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     types = dict(documents.dtypes)
     model = documents.sparkSession.sparkContext.broadcast(pair_model(documents, text))
     shape = "key {}, stretches array<struct<start:int,end:int,wrong:string,right:string>>, restored string".format(types[key])
-    return documents.select(F.col(key).alias("key"), text).mapInArrow(_find(model), shape).withColumnRenamed("key", key)
+    return spread(documents.select(F.col(key).alias("key"), text)).mapInArrow(_find(model), shape).withColumnRenamed("key", key)
 
 
 def garble_report(found: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlattice.session import spread
+
 TOKENIZERS = os.environ.get("MEMLATTICE_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of this vocabulary.
@@ -141,7 +143,7 @@ def encode(df: DataFrame, key: str, text: str = "text", directory: str = TOKENIZ
                 ids = encoder(directory, name).encode_batch(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {types[key]}, ids array<int>")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {types[key]}, ids array<int>")
 
 
 def encode_states(df: DataFrame, key: str, text: str = "text", **kw) -> DataFrame:
@@ -162,7 +164,7 @@ def encode_states(df: DataFrame, key: str, text: str = "text", **kw) -> DataFram
                     names=[key, "text_state", "n_tokens", "n_bytes", "lossless"],
                 )
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {types[key]}, text_state string, n_tokens long, n_bytes long, lossless boolean")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {types[key]}, text_state string, n_tokens long, n_bytes long, lossless boolean")
 
 
 def token_counts(df: DataFrame, text: str = "text", directory: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
@@ -176,7 +178,7 @@ def token_counts(df: DataFrame, text: str = "text", directory: str = TOKENIZERS,
                 n = [len(i) for i in encoder(directory, name).encode_batch(b.column(0).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n, pa.int64())], names=[*kept, "n_tokens"])
 
-    return df.select(text, *kept).mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in kept), "n_tokens long"]))
+    return spread(df.select(text, *kept)).mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in kept), "n_tokens long"]))
 
 
 def token_report(states: DataFrame) -> DataFrame:
