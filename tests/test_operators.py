@@ -27,6 +27,16 @@ def test_search_is_exact_and_blocks_agree(spark):
     assert similarity.search(df.limit(0), df.limit(0), "id", "e", 3).count() == 0
 
 
+def test_many_centres_are_searched_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((30, 4)))], "id long, e array<double>")
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((7, 4)))], "g int, centroid array<double>")
+    rows = lambda: {(r.id, r.g, round(r.similarity, 9)) for r in similarity.nearest(df, "id", "e", c, "g").collect()}
+    few = rows()
+    monkeypatch.setattr(similarity, "FEW", 3)
+    assert rows() == few and len(few) == 30
+
+
 def test_silhouette_and_cohesion(spark):
     rng = np.random.default_rng(1)
     x, g = rng.standard_normal((24, 4)), [i % 3 for i in range(23)] + [9]
