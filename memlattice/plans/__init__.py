@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("data_problems", "vectors", "texts", "graphs", "logs", "records", "streams")
+_MODULES = ("data_problems", "vectors", "texts", "graphs", "logs", "records", "streams", "cycles")
 
 
 def collect() -> tuple[dict, dict]:
