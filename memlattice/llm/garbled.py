@@ -56,7 +56,7 @@ def _reverse(codec: str) -> dict[str, int]:
 
 REVERSE = {w: _reverse(w) for w in WRONG if w not in _MULTI}
 #: Single-byte encodings under which a valid UTF-8 sequence isn't likely in any clean text.
-_TELLING = ("latin-1", "cp1252", "mac_roman", "cp437", "cp850")
+_TELLING = ("latin-1", "cp1252", "mac_roman", "cp437", "cp850", "cp1251")
 
 
 def _byte_table(codec: str) -> np.ndarray:
@@ -309,6 +309,10 @@ class Finder:
                 gain, t = inner
             else:
                 gain = self.mean(before, t, after, least)
+                if right == "utf-8" and not t.isascii():  # a second layer
+                    twice = max(((self.mean(before, u, after), u) for u, w, r in inverses(t) if r == "utf-8"), default=None)
+                    if twice and twice[0] > gain:
+                        gain, t = twice
             if gain > least:
                 found, least = (t, wrong, right), gain
         if found and not found[0].isascii():
@@ -320,6 +324,7 @@ class Finder:
     def findings(self, text: str, p: np.ndarray, score: np.ndarray) -> list[Finding]:
         """``p``: code points with a zero at either end; ``score``: improbability of its pairs."""
         out: list[Finding] = []
+        hurt: list[tuple[int, int]] = []
         bad = damaged(p)
         for a, z in segments(score):
             # pairs a..z-1 touch characters a..z of p, that is a-1..z-1 of the text
@@ -334,9 +339,10 @@ class Finder:
                 if hit:
                     out.append(Finding(x, y, *hit))
                     break
-            if not hit and bad[a + 1 : z + 1].any():
-                out.append(Finding(a, z, None, None, None))
-        return self.supported(text, out)
+            if bad[a + 1 : z + 1].any():
+                hurt.append((a, z))
+        kept = self.supported(text, out)
+        return kept + [Finding(a, z, None, None, None) for a, z in hurt if not any(f.start < z and a < f.end for f in kept)]
 
     @staticmethod
     def supported(text: str, found: list[Finding]) -> list[Finding]:
@@ -345,7 +351,7 @@ class Finder:
         A mapping to UTF-8 proves itself by its byte structure. Any other needs EVIDENCE
         characters in the text that aren't white space, two of them different (if all are
         letters: LETTERS, three of them different); or, between two letters, a symbol or a
-        letter of another script.
+        letter of another script; or a box-drawing character before a letter.
         """
         seen: dict[tuple, list[str]] = {}
         inside: set[tuple] = set()
@@ -356,6 +362,8 @@ class Finder:
                     seen.setdefault((f.wrong, f.right), []).append(c)
                     if 0 < i < len(text) - 1 and text[i - 1].isalpha() and text[i + 1].isalpha() and alien(text[i - 1], c):
                         inside.add((f.wrong, f.right))
+                    if "\u2500" <= c <= "\u259f" and text[i + 1 : i + 2].isalpha():
+                        inside.add((f.wrong, f.right))
         strong = {m for m, cs in seen.items() if m[1] in ("utf-8", None) or m in inside or len(cs) >= LETTERS and len(set(cs)) > 2 or len(cs) >= EVIDENCE and len(set(cs)) > 1 and not all(map(str.isalpha, cs))}
         return [f for f in found if f.wrong is None or (f.wrong, f.right) in strong]
 
@@ -374,14 +382,20 @@ class Finder:
         while v > u and text[v - 1].isascii():
             v -= 1
         yield u, v
-        for m in _OTHER_RUN.finditer(text, x, y):
-            yield m.span()
+        for pattern in (_OTHER_RUN, _WESTERN_RUN):
+            for m in pattern.finditer(text, x, y):
+                yield m.span()
 
 
 _CONTROL = re.compile("[\x80-\x9f\ufffd]").search
 _OTHER_RUN = re.compile(r"[^\x00-\x7f]+(?:[\x21-\x7e]{1,2}[^\x00-\x7f]+)*|[^\x00-\x7f]+")
 
 
+_WESTERN = "\u0080-\u036f\u2000-\u2bff"
+#: Latin letters, marks and symbols on their own, where another script stands beside them.
+_WESTERN_RUN = re.compile(f"[{_WESTERN}]+(?:[\x21-\x7e]{{1,2}}[{_WESTERN}]+)*")
+
+
 def _find(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(shared.value)
