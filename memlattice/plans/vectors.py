@@ -35,10 +35,10 @@ def similar_to(spark, d):
 
 
 def duplicate_probe(spark, d):
-    """K5 at 0.5: the best match of each queried record, if close enough."""
+    """K5 at 0.4: the best match of each queried record, if close enough."""
     e = _e(spark, d)
     found = similarity.search(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 1)
-    return similarity.duplicates(found, 0.5).select("id", "duplicate_of", F.round("score", 6).alias("score"))
+    return similarity.duplicates(found, 0.4).select("id", "duplicate_of", F.round("score", 6).alias("score"))
 
 
 def semantic_edges(spark, d):
@@ -255,7 +255,7 @@ SQL = {
     "vector_topk": f"""SELECT b.vec_id, round({COS}, 6) AS score, round(1 - {COS}, 6) AS distance FROM embeddings a, embeddings b
         WHERE a.vec_id = 0 ORDER BY {COS} DESC, b.vec_id LIMIT 10""",
     "similar_to": _TOP + "SELECT id, other, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
-    "duplicate_probe": _TOP + "SELECT id, other AS duplicate_of, round(score, 6) AS score FROM r WHERE rank = 1 AND score >= 0.5",
+    "duplicate_probe": _TOP + "SELECT id, other AS duplicate_of, round(score, 6) AS score FROM r WHERE rank = 1 AND score >= 0.4",
     "semantic_edges": _TOP
     + """, k AS (SELECT * FROM r WHERE rank <= 20 AND score >= 0.4)
       SELECT source, target, round(max(w), 6) AS weight, 'SEMANTIC' AS edge_type FROM (
