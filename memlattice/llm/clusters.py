@@ -19,7 +19,7 @@ from memlattice.session import materialize
 MAX_CELLS = 4096
 #: Rows of a cell that meet in one task; fuller cells are split into blocks.
 BLOCK = 2048
-#: Members of a block's component that go on to meet those of other blocks.
+#: Not used any more: nothing is thinned before all blocks of a cell have met.
 SPREAD = 32
 
 
@@ -175,20 +175,8 @@ def _join_block(ids: list[str], x: np.ndarray, least: float) -> tuple[list[int],
     return label
 
 
-def _spread(x: np.ndarray, size: int) -> np.ndarray:
-    """Farthest-first members of a component."""
-    if len(x) <= size:
-        return np.arange(len(x))
-    chosen, s = [0], x @ x[0]
-    for _ in range(size - 1):
-        i = int(s.argmin())
-        chosen.append(i)
-        s = np.maximum(s, x @ x[i])
-    return np.unique(chosen)
-
-
 def _linker(least: float, dim: int):
-    """Groups (cell, block): rows (a, b, vec): b is linked with a; rows with vec stand for their component."""
+    """Groups (cell, block): rows (a, b): b is linked with a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, vecs, out = None, [], [], []
@@ -198,25 +186,19 @@ def _linker(least: float, dim: int):
             names = list(seen)
             x = unit(np.frombuffer(b"".join(seen.values()), "<f4").reshape(-1, dim))
             label = _join_block(names, x, least)
-            order = np.argsort(label, kind="stable")
-            for group in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
-                go_on = set(group[_spread(x[group], SPREAD)].tolist()) if key[2] else ()
-                for i in group.tolist():
-                    if i != group[0] or i in go_on:
-                        out.append((*key[:2], names[group[0]], names[i], seen[names[i]] if i in go_on else None))
+            out.extend((names[a], names[i]) for i, a in enumerate(label.tolist()) if i != a)
 
         def table() -> pa.RecordBatch:
-            columns = list(zip(*out)) or [()] * 5
+            columns = list(zip(*out)) or [()] * 2
             out.clear()
-            kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["cell", "block", "a", "b", "vec"])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["a", "b"])
 
         for batch in batches:
-            for cell, block, split, i, v in zip(*(c.to_pylist() for c in batch.columns)):
-                if (cell, block, split) != key:
+            for cell, block, i, v in zip(*(c.to_pylist() for c in batch.columns)):
+                if (cell, block) != key:
                     if ids:
                         close()
-                    key, ids, vecs = (cell, block, split), [], []
+                    key, ids, vecs = (cell, block), [], []
                 ids.append(i)
                 vecs.append(v)
             yield table()
@@ -228,44 +210,22 @@ def _linker(least: float, dim: int):
 
 
 def links(rows: DataFrame, centres: np.ndarray, least: float, probes: int, dim: int) -> DataFrame:
-    """Links (a, b) that join rows of a cell as their cosines of ``least`` or more do."""
+    """Links (a, b) that join rows of a cell as their cosines of ``least`` or more do.
+
+    A cell above BLOCK rows is split into half blocks, and every two of them meet in a
+    task, so all its pairs are compared.
+    """
     v = rows.mapInArrow(_cells(centres, probes), "id string, vec binary, cells array<int>").select(F.explode("cells").alias("cell"), "id", "vec")
-    out = []
-    while True:
-        sizes = {r["cell"]: -(-r["count"] // BLOCK) for r in v.groupBy("cell").count().collect()}  # at most MAX_CELLS counts
-        many = {c: m for c, m in sizes.items() if m > 1}
-        split = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in many.items() for x in p]), F.col("cell")), F.lit(1)) if many else F.lit(1)
-        blocked = v.withColumn("_m", split).select(
-            "cell", F.pmod(F.xxhash64("id", F.lit(len(out))), F.col("_m")).cast("int").alias("block"), (F.col("_m") > 1).alias("split"), "id", "vec"
-        )
-        done = blocked.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInArrow(_linker(least, dim), "cell int, block int, a string, b string, vec binary")
-        done = materialize(done, "links")
-        out.append(done.where("a <> b").select("a", "b"))
-        rest = done.where("vec IS NOT NULL").select("cell", F.col("b").alias("id"), "vec")
-        if not many:
-            break
-        before, v = sum(many.values()), materialize(rest, "cells")
-        # blocks whose rows stay apart can't shrink: their tiles meet pairwise below
-        left = v.count()
-        if left > 0.7 * before * BLOCK:
-            out.append(_tiles(v, sizes, least, dim))
-            break
-    edges = out[0]
-    for e in out[1:]:
-        edges = edges.unionByName(e)
-    return edges.distinct()
-
-
-def _tiles(v: DataFrame, sizes: dict, least: float, dim: int) -> DataFrame:
-    """All pairs of blocks of the cells that a split doesn't shrink (rows far from each other), a task each."""
-    many = {c: m for c, m in sizes.items() if m > 1}
-    m = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in many.items() for x in p]), F.col("cell")), F.lit(1))
-    v = v.withColumn("_m", (m * 2).cast("int")).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_m")).cast("int"))
-    v = v.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
-    pair = F.least("_b", "_o") * F.col("_m") + F.greatest("_b", "_o")
-    tiles = v.select("cell", pair.cast("int").alias("block"), F.lit(False).alias("split"), "id", "vec")
-    done = tiles.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInArrow(_linker(least, dim), "cell int, block int, a string, b string, vec binary")
-    return done.where("a <> b").select("a", "b")
+    sizes = {r["cell"]: -(-r["count"] // BLOCK) for r in v.groupBy("cell").count().collect()}  # at most MAX_CELLS counts
+    many = {c: 2 * m for c, m in sizes.items() if m > 1}
+    split = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in many.items() for x in p]), F.col("cell")), F.lit(1)) if many else F.lit(1)
+    v = v.withColumn("_m", split).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_m")).cast("int"))
+    # a half block meets itself beside each of the others
+    v = v.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).where("_m = 1 OR _o <> _b")
+    tile = F.least("_b", "_o") * F.col("_m") + F.greatest("_b", "_o")
+    tiles = v.select("cell", tile.cast("int").alias("block"), "id", "vec")
+    done = tiles.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInArrow(_linker(least, dim), "a string, b string")
+    return materialize(done, "links").distinct()
 
 
 def vectorise(neurons: DataFrame, weight: float = 0.2, hashed: int = 64, dim: int = DIM) -> DataFrame:

@@ -112,6 +112,32 @@ def test_clusters(spark, data, monkeypatch, block):
         assert big.typical_members[0] == ids[mine[int((x[mine] @ c).argmax())]]
 
 
+def test_blocks_of_a_cell_meet_in_full(spark, monkeypatch):
+    """Two dense groups of one cell, linked only by their most central rows."""
+    rng = np.random.default_rng(3)
+    one, two = np.zeros(384), np.zeros(384)
+    one[0], two[0], two[1] = 1, 0.55, np.sqrt(1 - 0.55**2)
+    noise = rng.standard_normal((600, 384))
+    noise[:, :2] = 0
+    x = np.repeat([one, two], 300, axis=0) + 0.55 * unit(noise)
+    x[[150, 450]] = one, two
+    x = unit(x, "f4")
+    ids = [f"n{i:03}" for i in range(600)]
+    assert {c for c, _ in components(ids, unit(x), 0.5)} == {"n000"} and (unit(x[:300]) @ unit(x[300:]).T >= 0.5).sum() == 1
+    rows = spark.createDataFrame([(i, v.tobytes(), v.tobytes()) for i, v in zip(ids, x)], "id string, vec binary, feat binary")
+    monkeypatch.setattr(K, "BLOCK", 128)
+    links = K.links(rows, unit(one[None] + two, "f4"), 0.5, 6, 384)
+    label = {i: i for i in ids}
+    pairs = [(r.a, r.b) for r in links.collect()]
+    for _ in ids:
+        before = dict(label)
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    assert set(label.values()) == {"n000"}
+
+
 def test_no_clusters(spark, data):
     members, rows = K.similarity_clusters(data[0].limit(0))
     assert members.count() == 0 and rows.count() == 0
