@@ -18,6 +18,8 @@ FIT_ROWS = 16384
 MAX_LISTS = 4096
 #: Rows of a list that one group holds in memory; longer lists are split into blocks.
 BLOCK = 4096
+#: Pairs scored in double precision at once.
+PAIRS = 65536
 
 
 @dataclass
@@ -89,18 +91,25 @@ def _search(index: Index, k: int, least: float, rerank: int, dim: int):
             near += tables[:, p][:, base["codes"][:, p]]
         m = min(rerank, n)
         top = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < n else np.broadcast_to(np.arange(n), near.shape)
-        # single precision over the block, then double for all that may be among the k best
-        rough = np.take_along_axis(q @ base["x4"].T, top, axis=1)
+        # the reranked rows set the bar; every row of the block that may reach it in single precision is scored in double
+        whole = q @ base["x4"].T
+        rough = np.take_along_axis(whole, top, axis=1)
         bar = np.partition(rough, -min(k + 1, m), axis=1)[:, -min(k + 1, m)] - 4e-6
-        row, col = np.nonzero(rough >= np.maximum(bar, least - 4e-6)[:, None])
-        pick = top[row, col]
-        exact = np.round(np.einsum("ij,ij->i", q8[row], base["x8"][pick]), 6)
-        best: dict[int, list] = {}
-        for i, j, c in zip(row.tolist(), pick.tolist(), exact.tolist()):
-            if c >= least and base["ids"][j] != ids[i]:
-                best.setdefault(i, []).append((-c, base["ids"][j]))
-        for i, hits in best.items():
-            out.extend((ids[i], other, -c) for c, other in sorted(hits)[:k])
+        row, col = np.nonzero(whole >= np.maximum(bar, least - 4e-6)[:, None])
+        exact = np.empty(len(row))
+        for i in range(0, len(row), PAIRS):
+            part = slice(i, i + PAIRS)
+            exact[part] = np.einsum("ij,ij->i", q8[row[part]], base["x8"][col[part]])
+        exact = np.round(exact, 6)
+        place = np.empty(n, "i8")
+        place[sorted(range(n), key=base["ids"].__getitem__)] = np.arange(n)
+        order = np.lexsort((place[col], -exact, row))
+        order = order[exact[order] >= least]
+        best: dict[int, int] = {}
+        for i, j, c in zip(row[order].tolist(), col[order].tolist(), exact[order].tolist()):
+            if base["ids"][j] != ids[i] and best.get(i, 0) < k:
+                best[i] = best.get(i, 0) + 1
+                out.append((ids[i], base["ids"][j], c))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, base = None, {}
@@ -133,14 +142,17 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.5, lists: int | Non
     """(id, neighbour, cosine, rank): for every vector of (id, vec) its ``k`` most similar
     others by cosine rounded to 6 digits, then by smaller id; only cosines of ``least`` or more.
 
-    Every row lies in the list of its nearest centroid with the codes of its residual
-    and is sought in its ``probes`` nearest lists: asymmetric tables (query part against
-    codebook) rank a list's rows, the best ``rerank`` are reranked by exact double
-    cosines. Lists longer than BLOCK are split, each block answering for itself, so no
-    group outgrows memory whatever the skew. ``lists`` defaults to the root of the row
-    count, MAX_LISTS at most. No vectors give no rows; equal vectors tie by id.
+    Equal vectors are sought once, by their smallest id, and then stand in for each other
+    (``_copies``), so no number of copies cuts a tie. Every such row lies in the list of
+    its nearest centroid with the codes of its residual and is sought in its ``probes``
+    nearest lists: asymmetric tables (query part against codebook) rank a list's rows, the
+    best ``rerank`` set the bar, and exact double cosines decide among all rows of the
+    list that reach it. Lists longer than BLOCK are split, each block answering for
+    itself, so no group outgrows memory whatever the skew. ``lists`` defaults to the root
+    of the row count, MAX_LISTS at most. No vectors give no rows; equal vectors tie by id.
     """
-    v = materialize(vectors.select("id", "vec"), "vectors")
+    every = materialize(vectors.select("id", "vec", F.sha2("vec", 256).alias("same")), "copies")
+    v = materialize(every.groupBy("same").agg(F.min("id").alias("id"), F.first("vec").alias("vec")).select("id", "vec"), "vectors")
     n = v.count()
     index = fit(v, lists or max(1, min(MAX_LISTS, int(n**0.5))), dim=dim)
     indexed = materialize(v.mapInArrow(_assign(index, probes, dim), "id string, vec binary, list int, codes binary, probes array<int>"), "ivf")
@@ -157,10 +169,33 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.5, lists: int | Non
         .sortWithinPartitions("list", "block", "kind")
         .mapInArrow(_search(index, k, least, rerank, dim), "id string, neighbour string, cosine double")
     )
+    return _best(_copies(_best(found, k), every, k), k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _copies(found: DataFrame, every: DataFrame, k: int) -> DataFrame:
+    """(id, neighbour, cosine) of all ids of ``every`` (id, same) from those found for the smallest id of each ``same``.
+
+    A set of copies that gives any of an id's ``k`` best gives its smallest id first, so it is
+    among the ``k`` best sets; of each, and of the id's own, the k + 1 smallest ids suffice.
+    """
+    groups = every.groupBy("same").agg(F.min("id").alias("one"), F.count("*").alias("_n")).where("_n > 1").select("same", "one")
+    members = materialize(every.select("same", "id").join(groups, "same").select("one", F.col("id").alias("copy")), "members")
+    first = Window.partitionBy("one").orderBy("copy")
+    few = members.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1).select(F.col("one").alias("neighbour"), F.col("copy").alias("_b"))
+    own = members.select(F.col("one").alias("id"), F.col("one").alias("neighbour")).distinct().withColumn("cosine", F.lit(1.0))
+    sets = found.select("id", "neighbour", "cosine").unionByName(own)
+    wide = sets.join(few, "neighbour", "left").select("id", F.coalesce("_b", "neighbour").alias("neighbour"), "cosine")
+    # the k + 1 best of a set, as one may be the id itself
+    wide = _best(wide, k + 1).select("id", "neighbour", "cosine")
+    all_ids = members.select(F.col("one").alias("id"), F.col("copy").alias("_a"))
+    return wide.join(all_ids, "id", "left").select(F.coalesce("_a", "id").alias("id"), "neighbour", "cosine").where("id <> neighbour")
+
+
 def neighbour_pairs(found: DataFrame) -> DataFrame:
     """Unordered pairs (neuron_a < neuron_b), each once."""
     return found.select(F.least("id", "neighbour").alias("neuron_a"), F.greatest("id", "neighbour").alias("neuron_b")).distinct()

@@ -79,6 +79,19 @@ def test_blocks_change_nothing(spark, data, monkeypatch):
     assert rows() == whole
 
 
+def test_many_equal_vectors_tie_by_id(spark):
+    """More copies than are reranked, and near copies whose cosines are equal at 6 digits."""
+    rng = np.random.default_rng(8)
+    c = rng.standard_normal(384).astype("f4")
+    near = c + (1e-5 * rng.standard_normal((400, 384))).astype("f4")
+    x = np.concatenate([np.repeat(c[None], 700, axis=0), near, (c + 0.3 * rng.standard_normal((40, 384))).astype("f4"), rng.standard_normal((60, 384)).astype("f4")])
+    ids = [f"n{i:04}" for i in rng.permutation(len(x))]
+    s = np.round(unit(x) @ unit(x).T, 6)
+    want = {(a, b, r + 1) for i, a in enumerate(ids) for r, (_, b) in enumerate(sorted((-s[i, j], b) for j, b in enumerate(ids) if j != i and s[i, j] >= 0.5)[:5])}
+    df = spark.createDataFrame([(i, v.tobytes()) for i, v in zip(ids, x)], "id string, vec binary")
+    assert {(r.id, r.neighbour, r["rank"]) for r in N.nearest(df, lists=1).collect()} == want
+
+
 def components(ids, x, least):
     label = {i: i for i in ids}
 
