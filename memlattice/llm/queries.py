@@ -44,15 +44,29 @@ def p5_scores(spark, d):
     return _scores(spark, d).withColumn("lift", F.round("lift", 6)).withColumn("pmi", F.round("pmi", 6))
 
 
-def p5_incremental(spark, d):
-    """The older half of the items first, then the rest and every changed basket as signed deltas."""
+def p5_pairs(spark, d):
+    """Every pair of tags that occurs on an item, with no minimum."""
+    return cooccurrence.count_pairs(read(spark, d, "neuron_list")).scores().withColumn("lift", F.round("lift", 6)).withColumn("pmi", F.round("pmi", 6))
+
+
+def _incremental(spark, d):
     rows = read(spark, d, "neuron_list")
     full = cooccurrence.baskets(rows)
     old = cooccurrence.baskets(rows.where("created_at < timestamp_ntz'2025-06-01 00:00:00'"))
     table = cooccurrence.PairTable(spark)
     table.merge(cooccurrence.changes(None, old))
     table.merge(cooccurrence.changes(old, full))
-    return table.scores(least=5).select("tag_a", "tag_b", "n_ab", "n_a", "n_b", "n_items")
+    return table
+
+
+def p5_incremental(spark, d):
+    """The older half of the items first, then the rest and every changed basket as signed deltas."""
+    return _incremental(spark, d).scores(least=5).select("tag_a", "tag_b", "n_ab", "n_a", "n_b", "n_items")
+
+
+def p5_pairs_incremental(spark, d):
+    """p5_pairs, built as p5_incremental is."""
+    return _incremental(spark, d).scores().select("tag_a", "tag_b", "n_ab", "n_a", "n_b", "n_items")
 
 
 def _alike(spark, d):
@@ -118,7 +132,7 @@ def p10_report(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p1_report, p4_found, p4_clusters, p5_found, p5_scores, p5_incremental, p6_found, p6_groups, p7_found, p7_neighbours, p8_ids, p8_report, p9_mixture, p9_shares, p10_found, p10_restored, p10_report)
+    for f in (p1_found, p1_pieces, p1_report, p4_found, p4_clusters, p5_found, p5_scores, p5_incremental, p5_pairs, p5_pairs_incremental, p6_found, p6_groups, p7_found, p7_neighbours, p8_ids, p8_report, p9_mixture, p9_shares, p10_found, p10_restored, p10_report)
 }
 
 
@@ -149,5 +163,9 @@ WHERE octet_length(chunk_data) > coalesce(o.s, (SELECT s FROM o WHERE p = 'defau
     "p5_scores": _P5
     + """SELECT tag_a, tag_b, n_ab, n_a, n_b, n_items, round(n_items * n_ab / (n_a::DOUBLE * n_b), 6) AS lift,
          round(log2(n_items * n_ab / (n_a::DOUBLE * n_b)), 6) AS pmi FROM scored""",
+    "p5_pairs": _P5.replace(" WHERE n_ab >= 5", "")
+    + """SELECT tag_a, tag_b, n_ab, n_a, n_b, n_items, round(n_items * n_ab / (n_a::DOUBLE * n_b), 6) AS lift,
+         round(log2(n_items * n_ab / (n_a::DOUBLE * n_b)), 6) AS pmi FROM scored""",
+    "p5_pairs_incremental": _P5.replace(" WHERE n_ab >= 5", "") + "SELECT tag_a, tag_b, n_ab, n_a, n_b, n_items FROM scored",
     "p5_incremental": _P5 + "SELECT tag_a, tag_b, n_ab, n_a, n_b, n_items FROM scored",
 }

@@ -52,3 +52,14 @@ def test_increments_equal_the_whole(spark):
 def test_threshold_is_exact(spark):
     s = spark.createDataFrame([("a", "b", 5, 10, 10, 80), ("a", "c", 5, 10, 10, 79), ("b", "c", 4, 4, 4, 80), ("x", "y", 5 * 10**9, 10**10, 10**10, 8 * 10**10)], "tag_a string, tag_b string, n_ab long, n_a long, n_b long, n_items long")
     assert {(r.tag_a, r.tag_b) for r in P.together(s).collect()} == {("a", "b"), ("x", "y")}
+
+
+def test_queries_give_rare_pairs(spark, tmp_path):
+    from memlattice.llm.queries import QUERIES
+
+    stamped = [(i, tags, f"202{4 + k % 2}-09-01 00:00:00") for k, (i, tags, *_) in enumerate(ROWS)]
+    df = spark.createDataFrame(stamped, "id string, tags array<string>, at string").selectExpr("id", "tags", "CAST(at AS timestamp_ntz) AS created_at")
+    df.write.parquet(str(tmp_path / "neuron_list.parquet"))
+    for name in ("p5_pairs", "p5_pairs_incremental"):
+        got = {(r.tag_a, r.tag_b): (r.n_ab, r.n_a, r.n_b, r.n_items) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == brute(ROWS) and min(n for n, *_ in got.values()) == 1
