@@ -323,25 +323,33 @@ class Finder:
 
     def findings(self, text: str, p: np.ndarray, score: np.ndarray) -> list[Finding]:
         """``p``: code points with a zero at either end; ``score``: improbability of its pairs."""
-        out: list[Finding] = []
         hurt: list[tuple[int, int]] = []
         bad = damaged(p)
-        for a, z in segments(score):
-            # pairs a..z-1 touch characters a..z of p, that is a-1..z-1 of the text
-            a, z = max(0, a - 1), min(len(text), z)
-            tried = set()
-            hit = None
-            for x, y in self.windows(text, a, z):
-                if (x, y) in tried or x >= y:
-                    continue
-                tried.add((x, y))
-                hit = self.best(text, x, y)
-                if hit:
-                    out.append(Finding(x, y, *hit))
-                    break
+        # pairs a..z-1 touch characters a..z of p, that is a-1..z-1 of the text
+        todo = [(max(0, a - 1), min(len(text), z)) for a, z in segments(score)]
+        hits: dict[tuple[int, int], list[Finding]] = {s: [] for s in todo}
+        tried = set()
+        for a, z in todo:
             if bad[a + 1 : z + 1].any():
                 hurt.append((a, z))
-        kept = self.supported(text, out)
+        while True:
+            for a, z in todo:
+                mine = hits[a, z]
+                for x, y in self.windows(text, a, z):
+                    if x >= y or (a, z, x, y) in tried or any(f.start < y and x < f.end for f in mine):
+                        continue
+                    tried.add((a, z, x, y))
+                    hit = self.best(text, x, y)
+                    if hit:
+                        mine.append(Finding(x, y, *hit))
+            kept = self.supported(text, [f for fs in hits.values() for f in fs])
+            held = {id(f) for f in kept}
+            # where a hit is dropped, the windows it kept from being tried come next
+            todo = [s for s, fs in hits.items() if any(id(f) not in held for f in fs)]
+            if not todo:
+                break
+            for s in todo:
+                hits[s] = [f for f in hits[s] if id(f) in held]
         return kept + [Finding(a, z, None, None, None) for a, z in hurt if not any(f.start < z and a < f.end for f in kept)]
 
     @staticmethod

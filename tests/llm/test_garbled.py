@@ -37,6 +37,15 @@ def test_found_and_restored(spark):
     assert G.garbled(df.limit(0)).count() == 0
 
 
+def test_all_runs_of_a_segment(spark):
+    docs, _, _ = corpus()
+    wrong = lambda t: t.encode().decode("latin-1")
+    text = "le " + "🚀".join(wrong(w) for w in ("café", "privé", "préfère", "élève")) + " ici"
+    df = spark.createDataFrame([*docs, (1000, text)], "doc_id long, text string")
+    got = {r.doc_id: r for r in G.garbled(df).collect()}
+    assert set(got) == {1000} and got[1000].restored == "le café🚀privé🚀préfère🚀élève ici"
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.floats(-5, 5), max_size=40))
 def test_segments(xs):
