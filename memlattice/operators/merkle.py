@@ -83,13 +83,15 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def batch_siblings(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(tree, level, pos, hash): the siblings that prove all ``wanted`` leaves of a tree at once, none twice
-    and none that the wanted leaves themselves give."""
+    and none that the wanted leaves themselves give. With a column ``batch`` in ``wanted``, each batch of a
+    tree is proved on its own and the rows have it too."""
+    keys = ["tree", "batch"] if "batch" in wanted.columns else ["tree"]
     top = roots(nodes).select("tree", "height")
-    w = wanted.select("tree", "pos").join(top, "tree").where("height > 0")
-    steps = w.select("tree", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("level"), "pos")
-    known = steps.select("tree", "level", F.floor(F.col("pos") / F.pow(F.lit(2.0), F.col("level"))).cast("long").alias("pos")).distinct()
-    need = known.select("tree", "level", F.col("pos").bitwiseXOR(F.lit(1).cast("long")).alias("pos")).join(known, ["tree", "level", "pos"], "left_anti")
-    return nodes.join(need, ["tree", "level", "pos"], "left_semi").select("tree", "level", "pos", "hash")
+    w = wanted.select(*keys, "pos").join(top, "tree").where("height > 0")
+    steps = w.select(*keys, F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("level"), "pos")
+    known = steps.select(*keys, "level", F.floor(F.col("pos") / F.pow(F.lit(2.0), F.col("level"))).cast("long").alias("pos")).distinct()
+    need = known.select(*keys, "level", F.col("pos").bitwiseXOR(F.lit(1).cast("long")).alias("pos")).join(known, [*keys, "level", "pos"], "left_anti")
+    return nodes.join(need, ["tree", "level", "pos"]).select(*keys, "level", "pos", "hash")
 
 
 def range_valid(leaves: DataFrame, claimed: DataFrame, algorithm: str = "sha3") -> DataFrame:

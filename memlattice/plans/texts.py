@@ -94,12 +94,37 @@ def merkle_batch(spark, d):
 
 
 def merkle_diff(spark, d):
-    """Leaves against those of the text in upper case."""
+    """Leaves against those of the text's first 600 characters and ``!``, as its SQL says; merkle_diff_whole has whole texts."""
     up = chunks.fixed_chunks(_d(spark, d), "doc_id", F.encode(F.concat(F.substring("text", 1, 600), F.lit("!")), "UTF-8"), 512, "sha2")
     leaf = lambda c: c.select(F.col("doc_id").alias("tree"), F.col("idx").alias("pos"), "hash")
     return merkle.diff(leaf(_fixed(spark, d)), leaf(up)).groupBy("change").agg(F.count("*").alias("n"))
 
 
+def _leaves(c):
+    return c.select(F.col("doc_id").alias("tree"), F.col("idx").cast("long").alias("pos"), "hash")
+
+
+def merkle_proofs_all(spark, d):
+    """M3, M4: proofs of every leaf of every tree, verified."""
+    c = _fixed(spark, d)
+    n = merkle.tree(c, "doc_id", "idx", "hash", "sha2")
+    return merkle.verified(merkle.proofs(n, _leaves(c)), "sha2").select(F.col("tree").alias("doc_id"), "pos", "leaf", F.size("siblings").alias("n_siblings"), "valid")
+
+
+def merkle_batch_all(spark, d):
+    """M7: siblings that prove each three leaves in a row together, to the end of the tree."""
+    c = _fixed(spark, d)
+    n = merkle.tree(c, "doc_id", "idx", "hash", "sha2")
+    wanted = _leaves(c).withColumn("batch", F.floor(F.col("pos") / 3).cast("long"))
+    return merkle.batch_siblings(n, wanted).select(F.col("tree").alias("doc_id"), "batch", "level", "pos", "hash")
+
+
+def merkle_diff_whole(spark, d):
+    """All leaves against those of the whole text in upper case."""
+    up = chunks.fixed_chunks(_d(spark, d), "doc_id", F.encode(F.upper("text"), "UTF-8"), 512, "sha2")
+    return merkle.diff(_leaves(_fixed(spark, d)), _leaves(up)).groupBy("change").agg(F.count("*").alias("n"))
+
+
 def merkle_versions(spark, d):
     """M9: versions of the trees after odd documents lost their first chunk."""
     c = _fixed(spark, d)
@@ -161,7 +186,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fixed_chunks, fixed_chunks_sha3, content_chunks, chunk_stats, chunk_dedup, chunk_store, chunk_release, chunk_merge, chunk_integrity, merkle_roots, merkle_roots_sha3,
-        merkle_proofs, merkle_batch, merkle_diff, merkle_versions, content_hashes, doc_frequency, tfidf, keyword_scores, extracts, patterns, task_types, hybrid_search, ingest,
+        merkle_proofs, merkle_batch, merkle_diff, merkle_proofs_all, merkle_batch_all, merkle_diff_whole, merkle_versions, content_hashes, doc_frequency, tfidf, keyword_scores, extracts, patterns, task_types, hybrid_search, ingest,
     )
 }
 
