@@ -9,9 +9,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.storagelevel import StorageLevel
 
 _RUN = uuid.uuid4().hex[:12]
+_owned: set[str] = set()
 
 
 def get_session(app: str = "memlattice", master: str | None = None, **conf) -> SparkSession:
@@ -45,7 +45,18 @@ def shared_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, root, True)
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, f"memlattice-{_RUN}")
+    mine = os.path.join(root, f"memlattice-{_RUN}")
+    if mine not in _owned:
+        _owned.add(mine)
+        path, files = _path(spark, mine)
+        files.mkdirs(path)
+        files.deleteOnExit(path)  # the run's tables end with the driver
+    return mine
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -56,12 +67,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:10]}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Persist for repeated passes; lost blocks are computed again."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def discard(df: DataFrame) -> None:
+    """Removes a table of ``materialize`` that nothing reads any more (an iteration's earlier round)."""
+    written = getattr(df, "_written", None)
+    if written:
+        path, files = _path(df.sparkSession, written)
+        files.delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
