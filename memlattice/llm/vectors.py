@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlattice.functions.keys import current_rows
+from memlattice.functions.keys import current_wide
 
 DIM = 384
 
@@ -54,7 +54,7 @@ def usable_neurons(neurons: DataFrame, dim: int = DIM, extra: tuple[str, ...] =
     embedding has ``dim`` finite values, not all zero. Null, empty, short, NaN and zero
     embeddings drop out; repeated rows count once; extra columns of the table are ignored.
     """
-    now = current_rows(neurons, "id", "updated_at", ["deleted_at", *extra, "embedding"]).where("deleted_at IS NULL")
+    now = current_wide(neurons, "id", "updated_at", ["deleted_at", *extra, "embedding"]).where("deleted_at IS NULL")
     now = now.select("id", *extra, F.col("embedding").cast("array<float>").alias("embedding")).where(F.size("embedding") == dim)
     types = dict(now.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in ("id", *extra)), "vec binary"])
