@@ -2,174 +2,272 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlattice.functions.keys import bounded
 from memlattice.llm.vectors import DIM, lloyd, matrix, seeds, unit
 from memlattice.session import materialize
 
-#: Rows (those of smallest id hash) that centroids and codebooks are fitted on; every row is indexed.
-FIT_ROWS = 16384
-MAX_LISTS = 4096
+#: Rows that centroids and codebooks are fitted on, and rows for each list where that is more; every row is indexed.
+FIT_ROWS, FIT_PER_LIST = 16384, 4
+#: Lists at most; up to 4.3 billion vectors their number grows with the root of the rows.
+MAX_LISTS = 131072
 #: Rows of a list that one group holds in memory; longer lists are split into blocks.
-BLOCK = 4096
-#: Pairs scored in double precision at once.
-PAIRS = 65536
+BLOCK = 16384
+#: A query also goes to the lists whose centroid has this share of the nearest one's similarity, less a margin.
+SHARE, MARGIN = 0.75, 0.02
+#: Times as many lists where their centroids are themselves as similar as a neighbour must be: a dense
+#: group is cut into many lists.
+DENSE = 4
+#: The tables' error that reranking allows for, in parts of a row's quantisation error.
+BAND = 0.25
 
 
 @dataclass
 class Index:
-    """Coarse centroids (lists, dim) and codebooks of the residuals (parts, codes, dim / parts)."""
+    """Coarse centroids (lists, dim), codebooks of the residuals (parts, codes, dim / parts), blocks of each list."""
 
     centres: np.ndarray
     books: np.ndarray
+    blocks: np.ndarray
 
 
-def fit(vectors: DataFrame, lists: int, parts: int = 48, codes: int = 256, dim: int = DIM, seed: int = 7) -> Index:
-    """Fit on the FIT_ROWS vectors with the smallest hash of their id (a bounded sample on the driver)."""
-    rows = vectors.select("vec", F.xxhash64("id").alias("h")).orderBy("h", "vec").limit(FIT_ROWS).toArrow()
+def tree(x: np.ndarray, lists: int, rng: np.random.Generator) -> np.ndarray:
+    """Centroids of unit rows; many are fitted in two levels, each top cell having its share."""
+    few = lambda y, k: lloyd(y, seeds(y[: 24 * k], k, rng), 6)
+    if lists <= 1024:
+        return few(x, lists)
+    top = few(x[: 64 * int(lists**0.5)], int(lists**0.5))
+    near = np.concatenate([(x[i : i + 4096] @ top.T).argmax(axis=1) for i in range(0, len(x), 4096)])
+    return np.concatenate([few(x[near == c], max(1, round(lists * (near == c).mean()))) for c in range(len(top)) if (near == c).any()])
+
+
+def fit(rows: DataFrame, lists: int, n: int, parts: int = 48, codes: int = 256, dim: int = DIM, seed: int = 7) -> Index:
+    """Fit on the rows (id, vec) of a bounded sample, on the driver; ``n`` is the number of all rows."""
+    table = rows.select("id", "vec").toArrow().sort_by("id")
     rng = np.random.default_rng(seed)
-    if rows.num_rows == 0:
-        return Index(np.zeros((1, dim), "f4"), np.zeros((parts, 1, dim // parts), "f4"))
-    x = unit(matrix(rows.column("vec"), dim), "f4")
-    centres = lloyd(x, seeds(x, lists, rng), 6)
-    near = (x @ centres.T).argmax(axis=1)
-    residual = (x - centres[near]).reshape(len(x), parts, dim // parts)
-    books = np.zeros((parts, min(codes, len(x)), dim // parts), "f4")
+    if table.num_rows == 0:
+        return Index(np.zeros((1, dim), "f4"), np.zeros((parts, 1, dim // parts), "f4"), np.ones(1, "i8"))
+    x = unit(matrix(table.column("vec"), dim), "f4")[rng.permutation(table.num_rows)]
+    centres = tree(x, lists, rng)
+    near = np.concatenate([(x[i : i + 4096] @ centres.T).argmax(axis=1) for i in range(0, len(x), 4096)])
+    # blocks of a list from its share of the sample: it only decides how the work is cut
+    blocks = np.ceil(1.5 * np.bincount(near, minlength=len(centres)) / len(x) * n / BLOCK).astype("i8")
+    few = x[:FIT_ROWS]
+    residual = (few - centres[near[:FIT_ROWS]]).reshape(len(few), parts, dim // parts)
+    books = np.zeros((parts, min(codes, len(few)), dim // parts), "f4")
     for p in range(parts):
         r = np.ascontiguousarray(residual[:, p])
         c = r[rng.choice(len(r), books.shape[1], replace=False)]
         for _ in range(4):
             code = nearest_code(r, c)
-            n = np.bincount(code, minlength=len(c))
-            s = np.zeros_like(c)
-            np.add.at(s, code, r)
-            c = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], c)
+            n_of = np.bincount(code, minlength=len(c))
+            s = np.stack([np.bincount(code, weights=r[:, j], minlength=len(c)) for j in range(r.shape[1])], axis=1)
+            c = np.where(n_of[:, None] > 0, s / np.maximum(n_of, 1)[:, None], c).astype("f4")
         books[p] = c
-    return Index(centres, books)
+    return Index(centres, books, np.maximum(blocks, 1))
 
 
 def nearest_code(r: np.ndarray, book: np.ndarray) -> np.ndarray:
     return (r @ book.T - (book**2).sum(axis=1) / 2).argmax(axis=1)
 
 
-def _assign(index: Index, probes: int, dim: int):
-    """Rows (id, vec, list, codes, probes) of the index."""
+def encode(index: Index, x: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, norm of what they leave) of the residuals of unit rows in the lists ``near``."""
+    parts = len(index.books)
+    r = (x - index.centres[near]).reshape(len(x), parts, -1)
+    codes, left = np.empty((len(x), parts), "u1"), np.zeros(len(x), "f4")
+    for p in range(parts):
+        codes[:, p] = nearest_code(r[:, p], index.books[p])
+        left += ((r[:, p] - index.books[p][codes[:, p]]) ** 2).sum(axis=1)
+    return codes, np.sqrt(left)
+
+
+_SENT = "list int, block int, kind int, id string, vec binary, codes binary"
+
+
+def _assign(index: Index, probes: int, margin: float, least: float, dim: int):
+    """Each row goes to its own list (kind 0, with codes), and as a query (kind 1) to the other lists within the margin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = len(index.books)
-        for b in batches:
-            x = unit(matrix(b.column("vec"), dim), "f4")
-            s = x @ index.centres.T
-            near = s.argmax(axis=1)
-            m = min(probes, s.shape[1])
-            top = np.argpartition(-s, m - 1, axis=1)[:, :m].astype("i4")
-            r = (x - index.centres[near]).reshape(len(x), parts, dim // parts)
-            codes = np.stack([nearest_code(r[:, p], index.books[p]) for p in range(parts)], axis=1).astype("u1")
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("vec"), pa.array(near.astype("i4")), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(list(top), pa.list_(pa.int32()))],
-                names=["id", "vec", "list", "codes", "probes"],
-            )
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                b = whole.slice(start, 2048)
+                x = unit(matrix(b.column("vec"), dim), "f4")
+                s = x @ index.centres.T
+                m = min(DENSE * probes, s.shape[1])
+                top = np.argpartition(-s, m - 1, axis=1)[:, :m]
+                value = np.take_along_axis(s, top, axis=1)
+                order = np.argsort(-value, axis=1, kind="stable")
+                top, value = np.take_along_axis(top, order, axis=1), np.take_along_axis(value, order, axis=1)
+                near = top[:, 0]
+                codes, left = encode(index, x, near)
+                packed = [c.tobytes() + e.tobytes() for c, e in zip(codes, left)]
+                # a list's blocks share its rows by the hash of the vector; every query meets all of them
+                own = np.array([zlib.crc32(v) for v in b.column("vec").to_pylist()], "i8") % index.blocks[near]
+                row, col = np.nonzero((value >= SHARE * value[:, :1] - margin) & ((np.arange(m) < probes) | (value >= least)))
+                to = top[row, col]
+                again = np.repeat(np.arange(len(row)), index.blocks[to])
+                block = np.arange(len(again)) - np.repeat(np.cumsum(index.blocks[to]) - index.blocks[to], index.blocks[to])
+                row, to = row[again], to[again]
+                other = (to != near[row]) | (block != own[row])  # its own block holds it already
+                row, to, block = row[other], to[other], block[other]
+                at = pa.array(np.concatenate([np.arange(len(x)), row]))
+                kinds = np.repeat(np.array([0, 1], "i4"), [len(x), len(row)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([near, to]).astype("i4")), pa.array(np.concatenate([own, block]).astype("i4")), pa.array(kinds), b.column("id").take(at), b.column("vec").take(at), pa.array(packed + [None] * len(row), pa.binary())],
+                    names=["list", "block", "kind", "id", "vec", "codes"],
+                )
 
     return run
 
 
-def _search(index: Index, k: int, least: float, rerank: int, dim: int):
-    """Groups (list, block), base rows before queries: the base is held, queries stream by."""
-    parts = len(index.books)
+class Base:
+    """The rows of one block: vectors in single precision, codes and their errors, and the ids' order."""
+
+    def __init__(self, index: Index, list_: int, parts: list[pa.RecordBatch], dim: int):
+        self.index, self.list = index, list_
+        table = pa.Table.from_batches(parts).combine_chunks()
+        self.ids = table.column("id").combine_chunks()
+        packed = np.frombuffer(b"".join(table.column("codes").to_pylist()), "u1").reshape(len(self.ids), -1)
+        self.codes = np.ascontiguousarray(packed[:, :-4].T)
+        self.left = np.ascontiguousarray(packed[:, -4:]).view("<f4")[:, 0]
+        self.raw = matrix(table.column("vec"), dim)
+        self.x = unit(self.raw, "f4")
+        self.place = np.empty(len(self.ids), "i8")
+        self.place[np.asarray(pc.sort_indices(self.ids))] = np.arange(len(self.ids))
+
+    def scan(self, q: np.ndarray, own: np.ndarray | None, k: int, least: float, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, cosine) of the ``k`` best rows of each query (raw float32); ``own``: the queries' rows here.
 
-    def scan(base: dict, ids: list[str], q: np.ndarray, q8: np.ndarray, centre: np.ndarray, out: list) -> None:
-        n, sub = len(base["ids"]), q.reshape(len(q), parts, dim // parts)
-        tables = np.einsum("qpd,pcd->qpc", sub, index.books, optimize=True)
-        near = (q @ centre)[:, None] + np.zeros((1, n), "f4")
-        for p in range(parts):
-            near += tables[:, p][:, base["codes"][:, p]]
-        m = min(rerank, n)
+        Asymmetric tables (query part against codebook) add up over a row's codes. The
+        ``rerank`` best rows by the tables are scored from their vectors and set the bar;
+        other rows are scored only if the tables' sum, with the error that their
+        quantisation leaves, may reach it, so no tie is cut by position.
+        """
+        q4 = unit(q, "f4")
+        n, books = len(self.ids), self.index.books
+        tables = np.matmul(books, q4.reshape(len(q4), len(books), -1).transpose(1, 2, 0))  # (parts, codes, queries)
+        near = np.empty((len(q4), n), "f4")
+        first = q4 @ self.index.centres[self.list]
+        for i in range(0, n, 256):
+            codes = self.codes[:, i : i + 256]
+            sums = np.repeat(first[None], codes.shape[1], axis=0)
+            one = np.empty_like(sums)
+            for p in range(len(books)):
+                np.take(tables[p], codes[p], axis=0, out=one, mode="clip")
+                sums += one
+            near[:, i : i + 256] = sums.T
+        m = min(max(rerank, k + 1), n)
         top = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < n else np.broadcast_to(np.arange(n), near.shape)
-        # the reranked rows set the bar; every row of the block that may reach it in single precision is scored in double
-        whole = q @ base["x4"].T
-        rough = np.take_along_axis(whole, top, axis=1)
-        bar = np.partition(rough, -min(k + 1, m), axis=1)[:, -min(k + 1, m)] - 4e-6
-        row, col = np.nonzero(whole >= np.maximum(bar, least - 4e-6)[:, None])
-        exact = np.empty(len(row))
-        for i in range(0, len(row), PAIRS):
-            part = slice(i, i + PAIRS)
-            exact[part] = np.einsum("ij,ij->i", q8[row[part]], base["x8"][col[part]])
-        exact = np.round(exact, 6)
-        place = np.empty(n, "i8")
-        place[sorted(range(n), key=base["ids"].__getitem__)] = np.arange(n)
-        order = np.lexsort((place[col], -exact, row))
-        order = order[exact[order] >= least]
-        best: dict[int, int] = {}
-        for i, j, c in zip(row[order].tolist(), col[order].tolist(), exact[order].tolist()):
-            if base["ids"][j] != ids[i] and best.get(i, 0) < k:
-                best[i] = best.get(i, 0) + 1
-                out.append((ids[i], base["ids"][j], c))
+        rough = np.einsum("qd,qmd->qm", q4, self.x[top])
+        if own is not None:
+            rough[top == own[:, None]] = -1
+        kth = min(k, m)
+        bar = np.maximum(np.partition(rough, -kth, axis=1)[:, -kth], least) - 4e-6
+        may = near + BAND * self.left >= bar[:, None]
+        np.put_along_axis(may, top, rough >= bar[:, None], axis=1)
+        if own is not None:
+            may[np.arange(len(q4)), own] = False
+        row, col = np.nonzero(may)
+        single = np.concatenate([np.einsum("ij,ij->i", q4[row[i : i + 8192]], self.x[col[i : i + 8192]]) for i in range(0, len(row), 8192)] or [np.empty(0, "f4")])
+        keep = single >= bar[row]
+        row, col, single = row[keep], col[keep], single[keep]
+        # the k-th best of all that was scored is a sharper bar
+        order = np.lexsort((-single, row))
+        rank = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+        sharper = np.full(len(q4), -2.0)
+        at = order[rank == k - 1]
+        sharper[row[at]] = single[at] - 4e-6
+        keep = single >= sharper[row]
+        row, col = row[keep], col[keep]
+        exact = np.concatenate([np.einsum("ij,ij->i", unit(q[row[i : i + 8192]]), unit(self.raw[col[i : i + 8192]])) for i in range(0, len(row), 8192)] or [np.empty(0)]).round(6)
+        order = np.lexsort((self.place[col], -exact, row))
+        rank = np.empty(len(row), "i8")
+        rank[order] = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+        keep = (rank < k) & (exact >= least)
+        return row[keep], col[keep], exact[keep]
+
+
+def _search(index: Index, k: int, least: float, rerank: int, dim: int):
+    """Groups (list, block), their rows before queries: the rows are held, queries stream by."""
+
+    def answers(base: Base, ids: pa.Array, q: np.ndarray, own: bool) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(q), 256):
+            row, col, cosine = base.scan(q[i : i + 256], np.arange(i, min(i + 256, len(q))) if own else None, k, least, rerank)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + i)), base.ids.take(pa.array(col)), pa.array(cosine)], names=["id", "neighbour", "cosine"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, base = None, {}
+        key, rows, base = None, [], None
         for b in batches:
             lists, blocks, kinds = (b.column(c).to_numpy() for c in ("list", "block", "kind"))
             group = np.stack([lists, blocks, kinds])
             cuts = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1), len(lists)]
-            out: list[tuple] = []
             for a, z in zip(cuts, cuts[1:]):
                 if a == z:
                     continue
                 part, now = b.slice(a, z - a), (int(lists[a]), int(blocks[a]))
-                x8 = unit(matrix(part.column("vec"), dim))
+                if rows and (now != key or kinds[a] == 1):
+                    base, rows = Base(index, key[0], rows, dim), []
+                    yield from answers(base, base.ids, base.raw, True)
                 if now != key:
-                    key, base = now, {}
+                    key, base = now, base if now == key else None
                 if kinds[a] == 0:
-                    codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), "u1").reshape(-1, parts)
-                    new = {"ids": part.column("id").to_pylist(), "x8": x8, "x4": x8.astype("f4"), "codes": codes}
-                    base = {c: base[c] + new[c] if c == "ids" else np.concatenate([base[c], new[c]]) for c in new} if base else new
-                elif base:
-                    for i in range(0, len(x8), 256):
-                        scan(base, part.column("id").to_pylist()[i : i + 256], x8[i : i + 256].astype("f4"), x8[i : i + 256], index.centres[now[0]], out)
-            columns = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], names=["id", "neighbour", "cosine"])
+                    rows.append(part)
+                elif base is not None:
+                    yield from answers(base, part.column("id"), matrix(part.column("vec"), dim), False)
+        if rows:
+            base = Base(index, key[0], rows, dim)
+            yield from answers(base, base.ids, base.raw, True)
 
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 5, least: float = 0.5, lists: int | None = None, probes: int = 6, rerank: int = 256, dim: int = DIM) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, least: float = 0.5, lists: int | None = None, probes: int = 6, rerank: int = 32, dim: int = DIM, margin: float = MARGIN) -> DataFrame:
     """(id, neighbour, cosine, rank): for every vector of (id, vec) its ``k`` most similar
     others by cosine rounded to 6 digits, then by smaller id; only cosines of ``least`` or more.
 
     Equal vectors are sought once, by their smallest id, and then stand in for each other
     (``_copies``), so no number of copies cuts a tie. Every such row lies in the list of
-    its nearest centroid with the codes of its residual and is sought in its ``probes``
-    nearest lists: asymmetric tables (query part against codebook) rank a list's rows, the
-    best ``rerank`` set the bar, and exact double cosines decide among all rows of the
-    list that reach it. Lists longer than BLOCK are split, each block answering for
-    itself, so no group outgrows memory whatever the skew. ``lists`` defaults to the root
-    of the row count, MAX_LISTS at most. No vectors give no rows; equal vectors tie by id.
+    its nearest centroid with the codes of its residual, and is sought there and in up to
+    ``probes`` lists whose centroids are nearly as similar (SHARE, ``margin``): the tables
+    rank a list's rows, the best ``rerank`` set the bar, and exact double cosines decide
+    among the rows whose table sum may reach it. Lists longer than BLOCK are split, each
+    block answering for itself, so no group outgrows memory whatever the skew. Centroids
+    are fitted on a bounded sample of rows by id hash; ``lists`` defaults to twice the
+    root of the row count. No vectors give no rows; equal vectors tie by id.
     """
-    every = materialize(vectors.select("id", "vec", F.sha2("vec", 256).alias("same")), "copies")
-    v = materialize(every.groupBy("same").agg(F.min("id").alias("id"), F.first("vec").alias("vec")).select("id", "vec"), "vectors")
-    n = v.count()
-    index = fit(v, lists or max(1, min(MAX_LISTS, int(n**0.5))), dim=dim)
-    indexed = materialize(v.mapInArrow(_assign(index, probes, dim), "id string, vec binary, list int, codes binary, probes array<int>"), "ivf")
-    # at most MAX_LISTS counts; a list of n rows has ceil(n / BLOCK) blocks
-    blocks = {r["list"]: -(-r["count"] // BLOCK) for r in indexed.groupBy("list").count().collect()}
-    many = {c: m for c, m in blocks.items() if m > 1}
-    count = lambda c: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in many.items() for x in p]), c), F.lit(1)) if many else F.lit(1)
-    base = indexed.select("list", F.pmod(F.xxhash64("id"), count(F.col("list"))).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "vec", "codes")
-    queries = indexed.select(F.explode("probes").alias("list"), "id", "vec")
-    queries = queries.select("list", F.explode(F.sequence(F.lit(0), count(F.col("list")) - 1)).alias("block"), F.lit(1).alias("kind"), "id", "vec", F.lit(None).cast("binary").alias("codes"))
+    # 128 bits stand for a vector; the vectors themselves aren't shuffled for this
+    same = materialize(vectors.select("id", F.xxhash64("vec").alias("s1"), F.xxhash64(F.lit(7), "vec").alias("s2")), "same")
+    n = same.count()
+    groups = same.groupBy("s1", "s2").agg(F.min("id").alias("one"), F.count("*").alias("_n")).where("_n > 1").select("s1", "s2", "one")
+    members = materialize(same.join(groups, ["s1", "s2"]).select("one", F.col("id").alias("copy")), "members")
+    further = members.where("copy <> one").select(F.col("copy").alias("id"))
+    n_further = further.count()
+    v = vectors.select("id", "vec")
+    if n_further:
+        v = v.join(bounded(further, n_further), "id", "left_anti")
+    lists = lists or max(1, min(MAX_LISTS, int(2 * n**0.5)))
+    share = min(1.0, max(FIT_ROWS, FIT_PER_LIST * lists) / max(n, 1))
+    sample = v.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    index = fit(sample, lists, n, dim=dim)
     found = (
-        base.unionByName(queries)
+        v.mapInArrow(_assign(index, probes, margin, least, dim), _SENT)
         .repartition("list", "block")
         .sortWithinPartitions("list", "block", "kind")
         .mapInArrow(_search(index, k, least, rerank, dim), "id string, neighbour string, cosine double")
     )
-    return _best(_copies(_best(found, k), every, k), k)
+    if not n_further:
+        return _best(found, k)
+    return _best(_copies(_best(found, k), members, k), k)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -177,14 +275,12 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _copies(found: DataFrame, every: DataFrame, k: int) -> DataFrame:
-    """(id, neighbour, cosine) of all ids of ``every`` (id, same) from those found for the smallest id of each ``same``.
+def _copies(found: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(id, neighbour, cosine) of all ids from those found for the smallest id of each set of ``members`` (one, copy).
 
     A set of copies that gives any of an id's ``k`` best gives its smallest id first, so it is
     among the ``k`` best sets; of each, and of the id's own, the k + 1 smallest ids suffice.
     """
-    groups = every.groupBy("same").agg(F.min("id").alias("one"), F.count("*").alias("_n")).where("_n > 1").select("same", "one")
-    members = materialize(every.select("same", "id").join(groups, "same").select("one", F.col("id").alias("copy")), "members")
     first = Window.partitionBy("one").orderBy("copy")
     few = members.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1).select(F.col("one").alias("neighbour"), F.col("copy").alias("_b"))
     own = members.select(F.col("one").alias("id"), F.col("one").alias("neighbour")).distinct().withColumn("cosine", F.lit(1.0))
