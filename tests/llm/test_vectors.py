@@ -113,7 +113,6 @@ def components(ids, x, least):
 def test_clusters(spark, data, monkeypatch, block):
     df, ids, x = data
     monkeypatch.setattr(K, "BLOCK", block)
-    monkeypatch.setattr(K, "SPREAD", 6)
     members, rows = K.similarity_clusters(df)
     assert {(r.cluster_id, r.neuron_id) for r in members.collect()} == components(ids, x, 0.5)
     if block > 1000:
@@ -137,9 +136,11 @@ def test_blocks_of_a_cell_meet_in_full(spark, monkeypatch):
     x = unit(x, "f4")
     ids = [f"n{i:03}" for i in range(600)]
     assert {c for c, _ in components(ids, unit(x), 0.5)} == {"n000"} and (unit(x[:300]) @ unit(x[300:]).T >= 0.5).sum() == 1
-    rows = spark.createDataFrame([(i, v.tobytes(), v.tobytes()) for i, v in zip(ids, x)], "id string, vec binary, feat binary")
+    vectors = spark.createDataFrame([(i, v.tobytes()) for i, v in zip(ids, x)], "id string, vec binary")
+    blank = K.packed(np.zeros((1, 64)))[0]
+    rows = spark.createDataFrame([(i, c, blank) for i, c in zip(ids, K.packed(unit(x)))], "id string, code binary, side binary")
     monkeypatch.setattr(K, "BLOCK", 128)
-    links = K.links(rows, unit(one[None] + two, "f4"), 0.5, 6, 384)
+    links = K.links(rows, vectors, np.concatenate([unit(one[None] + two, "f4"), np.zeros((1, 64), "f4")], axis=1), 0.5, 6, 384)
     label = {i: i for i in ids}
     pairs = [(r.a, r.b) for r in links.collect()]
     for _ in ids:
