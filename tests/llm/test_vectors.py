@@ -152,6 +152,26 @@ def test_blocks_of_a_cell_meet_in_full(spark, monkeypatch):
     assert set(label.values()) == {"n000"}
 
 
+def test_doubtful_pairs_are_decided_exactly(spark):
+    """Cosines within the rounding error of the threshold, as many as a third of all pairs."""
+    rng = np.random.default_rng(12)
+    x = []
+    for g in range(40):
+        c = unit(rng.standard_normal((1, 384)))[0]
+        o = rng.standard_normal(384)
+        o = unit((o - o @ c * c)[None])[0]
+        t = 0.5 + (g - 20) * 2e-6
+        x += [c, t * c + np.sqrt(1 - t * t) * o]
+    x = np.array(x, "f4")
+    ids = [f"n{i:03}" for i in range(len(x))]
+    vectors = spark.createDataFrame([(i, v.tobytes()) for i, v in zip(ids, x)], "id string, vec binary")
+    blank = K.packed(np.zeros((1, 64)))[0]
+    rows = spark.createDataFrame([(i, c, blank) for i, c in zip(ids, K.packed(unit(x)))], "id string, code binary, side binary")
+    found = K.links(rows, vectors, np.concatenate([unit(x[:1], "f4"), np.zeros((1, 64), "f4")], axis=1), 0.5, 6, 384)
+    want = {(ids[i], ids[j]) for i, j in np.argwhere(np.triu(unit(x) @ unit(x).T >= 0.5, 1))}
+    assert {(r.a, r.b) for r in found.collect()} == want and 10 < len(want) < 30
+
+
 def test_no_clusters(spark, data):
     members, rows = K.similarity_clusters(data[0].limit(0))
     assert members.count() == 0 and rows.count() == 0
