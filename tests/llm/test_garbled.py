@@ -63,3 +63,45 @@ def test_round_trip_of_inverses():
         garbage = text.encode().decode(wrong, "ignore")
         if garbage.encode(wrong, "ignore") == text.encode():
             assert text in {t for t, _, _ in G.inverses(garbage)}
+
+
+def test_rare_pairs_come_from_the_table(spark, monkeypatch):
+    """A model that holds few pairs gives what one with all gives, the others being fetched."""
+    docs, bad, clean = corpus()
+    df = spark.createDataFrame([*docs, *bad.items(), *clean.items()], "doc_id long, text string")
+    rows = lambda: {(r.doc_id, str(r.stretches), r.restored) for r in G.garbled(df).collect()}
+    whole = rows()
+    monkeypatch.setattr(G, "KEPT", 40)
+    model, rest = G.pair_model(df)
+    assert len(model.pairs) <= 40 < rest.count() and rows() == whole
+    monkeypatch.setattr(G, "DENSE", 0)
+    assert rows() == whole
+
+
+def test_long_runs_are_restored_whole(spark):
+    docs, _, _ = corpus()
+    word = "нашпоиск" * 40  # no blank: one run of 320 characters
+    bad = word.encode("koi8_r").decode("cp1251")
+    df = spark.createDataFrame([*docs, *((i, word) for i in range(300, 320)), (1000, "журнал " + bad + " память")], "doc_id long, text string")
+    got = {r.doc_id: r.restored for r in G.garbled(df).collect()}
+    assert set(got) == {1000} and got[1000].endswith(" " + word + " память")
+
+
+def test_the_corpus_decides_about_single_letters(spark, monkeypatch):
+    """A mapping that strong stretches of other texts have is believed of one odd letter, another isn't."""
+    docs, _, _ = corpus()
+    wrong = lambda t: t.encode("cp1252").decode("mac_roman")
+    monkeypatch.setattr(G, "HALF", 2e-4)  # in so small a corpus one occurrence would be evidence
+    strong = [(1000, " ".join(wrong(w) for w in FR[:9])), (1001, " ".join(wrong(w) for w in FR[9:]))]
+    single = (2000, " ".join([*EN, wrong("don’t"), *EN]))
+    found = lambda rows: {r.doc_id for r in G.garbled(spark.createDataFrame([*docs, *rows], "doc_id long, text string")).collect()}
+    assert found([*strong, single]) == {1000, 1001, 2000} and found([single]) == set()
+
+
+def test_a_hot_garbled_source_is_no_evidence(spark):
+    """A third of all texts are UTF-8 read otherwise, the same words again and again."""
+    docs, _, _ = corpus()
+    ko = " ".join(KO)
+    hot = [(1000 + i, " ".join(RU).encode().decode("koi8_r")) for i in range(60)] + [(1100 + i, ko.encode().decode("gbk", "ignore")) for i in range(60)]
+    found = {r.doc_id for r in G.garbled(spark.createDataFrame([*docs, *hot], "doc_id long, text string")).collect()}
+    assert {i for i, _ in hot[:60]} <= found and not found & {i for i, _ in docs}
