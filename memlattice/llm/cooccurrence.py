@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlattice.functions.keys import tidy
-from memlattice.session import shared_dir
+from memlattice.session import materialize, shared_dir
 
-BUCKETS = 64
+#: Counts of a bucket, about, and the buckets at least and at most.
+BUCKET_ROWS, BUCKETS, MOST_BUCKETS = 1_000_000, 16, 32768
 
 
 def basket(tags: Column) -> Column:
@@ -56,36 +57,47 @@ def deltas(changed: DataFrame) -> DataFrame:
 
 
 class PairTable:
-    """Persistent counts in BUCKETS hash buckets; each merge writes a new version of the table."""
+    """Persistent counts in hash buckets of both tags, so a common tag's pairs lie in all of them.
+
+    A merge reads and rewrites only the buckets that its deltas touch; ``where`` holds the
+    version of each bucket. The number of buckets follows from the first merge.
+    """
 
     def __init__(self, spark, path: str | None = None):
         self.spark = spark
         self.path = path or os.path.join(shared_dir(spark), f"pairs-{uuid.uuid4().hex[:10]}")
         self.version = 0
+        self.buckets = 0
+        self.where: dict[int, int] = {}
 
-    def counts(self) -> DataFrame:
-        schema = "tag_a string, tag_b string, n long, bucket int"
-        if not self.version:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/v{self.version}")
+    def counts(self, buckets: list[int] | None = None) -> DataFrame:
+        schema = "tag_a string, tag_b string, n long"
+        paths = [f"{self.path}/v{v}/bucket={b}" for b, v in sorted(self.where.items()) if buckets is None or b in buckets]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def merge(self, changed: DataFrame) -> DataFrame:
         """Adds the deltas of ``changed`` (basket, sign); returns the keys whose counts changed."""
-        new = deltas(changed)
-        bucket = F.pmod(F.hash("tag_a"), F.lit(BUCKETS)).cast("int")
-        old = self.counts().select("tag_a", "tag_b", "n")
-        merged = (old.unionByName(new) if self.version else new).groupBy("tag_a", "tag_b").agg(F.sum("n").alias("n")).where("n <> 0").withColumn("bucket", bucket)
-        target = f"{self.path}/v{self.version + 1}"
-        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+        new = materialize(deltas(changed).where("n <> 0"), "deltas")
+        if not self.buckets:
+            self.buckets = min(MOST_BUCKETS, max(BUCKETS, -(-new.count() // BUCKET_ROWS)))
+        bucket = F.pmod(F.hash("tag_a", "tag_b"), F.lit(self.buckets)).cast("int")
+        touched = sorted(r["b"] for r in new.select(bucket.alias("b")).distinct().collect())  # MOST_BUCKETS at most
+        old = [b for b in touched if b in self.where]
+        both = self.counts(set(old)).unionByName(new) if old else new
+        # a bucket whose counts all vanish keeps a row of zero, so that its file replaces the old one
+        merged = both.groupBy("tag_a", "tag_b").agg(F.sum("n").alias("n")).withColumn("bucket", bucket)
         self.version += 1
-        return new.where("n <> 0").select("tag_a", "tag_b")
+        if touched:
+            merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{self.version}")
+        self.where |= dict.fromkeys(touched, self.version)
+        return new.select("tag_a", "tag_b")
 
     def scores(self, least: int = 1, touched: DataFrame | None = None) -> DataFrame:
         """Pairs with at least ``least`` items: counts, lift (how many times as often as by chance) and PMI.
 
         ``touched`` (tag): only pairs with one of these tags are scored again.
         """
-        counts = self.counts()
+        counts = self.counts().where("n <> 0")
         total = counts.where("tag_a IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_items"))
         single = counts.where("tag_a IS NOT NULL AND tag_b IS NULL")
         pairs = counts.where(F.col("tag_b").isNotNull() & (F.col("n") >= least)).select("tag_a", "tag_b", F.col("n").alias("n_ab"))
@@ -111,3 +123,32 @@ def count_pairs(df: DataFrame, key: str = "id", tags: str = "tags") -> PairTable
     table = PairTable(df.sparkSession)
     table.merge(changes(None, baskets(df, key, tags)))
     return table
+
+
+def grow(table: PairTable, before: DataFrame | None, batch: DataFrame, key: str = "id", tags: str = "tags") -> tuple[DataFrame, DataFrame]:
+    """(baskets after, keys whose counts changed): the rows of ``batch`` added to the counts of ``before``.
+
+    An item's new basket is what it had and what the batch gives it; only items of the
+    batch are looked at, and of these only those whose basket changes emit deltas.
+    """
+    new = baskets(batch, key, tags)
+    if before is None:
+        after = materialize(new, "baskets")
+        return after, table.merge(changes(None, after))
+    had = before.select("item", F.col("basket").alias("had"))
+    grown = F.array_sort(F.array_distinct(F.concat(F.coalesce("had", F.array().cast("array<string>")), "basket")))
+    new = materialize(new.join(had, "item", "left").select("item", grown.alias("basket")), "baskets")
+    touched = table.merge(changes(before, new))
+    return before.join(new, "item", "left_anti").unionByName(new), touched
+
+
+def in_batches(df: DataFrame, key: str = "id", tags: str = "tags", at: str = "created_at") -> tuple[PairTable, DataFrame]:
+    """(pair table, tags whose counts the second batch changed) of ``df`` in two batches: the rows before
+    the day of the mean ``at``, then the others (null ``at`` included)."""
+    mean = F.timestamp_micros(F.avg(F.unix_micros(F.col(at).cast("timestamp"))).cast("long"))
+    day = df.agg(F.date_trunc("day", mean).cast("timestamp_ntz").alias("day")).first()["day"]
+    early = F.coalesce(F.col(at) < F.lit(day), F.lit(False))
+    table = PairTable(df.sparkSession)
+    before, _ = grow(table, None, df.where(early), key, tags)
+    _, touched = grow(table, before, df.where(~early), key, tags)
+    return table, touched.select(F.explode(F.array("tag_a", "tag_b")).alias("tag")).where("tag IS NOT NULL").distinct()

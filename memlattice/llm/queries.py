@@ -32,41 +32,37 @@ def p4_clusters(spark, d):
     return clusters.describe(*clusters.similarity_clusters(read(spark, d, "neurons")))
 
 
-def _scores(spark, d):
-    return cooccurrence.count_pairs(read(spark, d, "neuron_list")).scores(least=5)
+def _pairs(spark, d):
+    return cooccurrence.in_batches(read(spark, d, "neuron_list"))
 
 
 def p5_found(spark, d):
-    return cooccurrence.together(_scores(spark, d)).select("tag_a", "tag_b")
+    return cooccurrence.together(_pairs(spark, d)[0].scores(least=5)).select("tag_a", "tag_b")
 
 
 def p5_scores(spark, d):
-    return _scores(spark, d).withColumn("lift", F.round("lift", 6)).withColumn("pmi", F.round("pmi", 6))
+    return cooccurrence.count_pairs(read(spark, d, "neuron_list")).scores(least=5).withColumn("lift", F.round("lift", 6)).withColumn("pmi", F.round("pmi", 6))
 
 
 def p5_pairs(spark, d):
     """Every pair of tags that occurs on an item, with no minimum."""
-    return cooccurrence.count_pairs(read(spark, d, "neuron_list")).scores().withColumn("lift", F.round("lift", 6)).withColumn("pmi", F.round("pmi", 6))
-
-
-def _incremental(spark, d):
-    rows = read(spark, d, "neuron_list")
-    full = cooccurrence.baskets(rows)
-    old = cooccurrence.baskets(rows.where("created_at < timestamp_ntz'2025-06-01 00:00:00'"))
-    table = cooccurrence.PairTable(spark)
-    table.merge(cooccurrence.changes(None, old))
-    table.merge(cooccurrence.changes(old, full))
-    return table
+    return _pairs(spark, d)[0].scores().withColumn("lift", F.round("lift", 6)).withColumn("pmi", F.round("pmi", 6))
 
 
 def p5_incremental(spark, d):
-    """The older half of the items first, then the rest and every changed basket as signed deltas."""
-    return _incremental(spark, d).scores(least=5).select("tag_a", "tag_b", "n_ab", "n_a", "n_b", "n_items")
+    """The older items first, then the rest and every changed basket as signed deltas."""
+    return _pairs(spark, d)[0].scores(least=5).select("tag_a", "tag_b", "n_ab", "n_a", "n_b", "n_items")
 
 
 def p5_pairs_incremental(spark, d):
     """p5_pairs, built as p5_incremental is."""
-    return _incremental(spark, d).scores().select("tag_a", "tag_b", "n_ab", "n_a", "n_b", "n_items")
+    return _pairs(spark, d)[0].scores().select("tag_a", "tag_b", "n_ab", "n_a", "n_b", "n_items")
+
+
+def p5_rescored(spark, d):
+    """The pairs that the second batch makes score anew: those with a tag of which it changes a count."""
+    table, touched = _pairs(spark, d)
+    return table.scores(touched=touched).select("tag_a", "tag_b", "n_ab", "n_a", "n_b", "n_items")
 
 
 def _alike(spark, d):
@@ -132,7 +128,7 @@ def p10_report(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p1_report, p4_found, p4_clusters, p5_found, p5_scores, p5_incremental, p5_pairs, p5_pairs_incremental, p6_found, p6_groups, p7_found, p7_neighbours, p8_ids, p8_report, p9_mixture, p9_shares, p10_found, p10_restored, p10_report)
+    for f in (p1_found, p1_pieces, p1_report, p4_found, p4_clusters, p5_found, p5_scores, p5_incremental, p5_pairs, p5_pairs_incremental, p5_rescored, p6_found, p6_groups, p7_found, p7_neighbours, p8_ids, p8_report, p9_mixture, p9_shares, p10_found, p10_restored, p10_report)
 }
 
 
@@ -167,5 +163,18 @@ WHERE octet_length(chunk_data) > coalesce(o.s, (SELECT s FROM o WHERE p = 'defau
     + """SELECT tag_a, tag_b, n_ab, n_a, n_b, n_items, round(n_items * n_ab / (n_a::DOUBLE * n_b), 6) AS lift,
          round(log2(n_items * n_ab / (n_a::DOUBLE * n_b)), 6) AS pmi FROM scored""",
     "p5_pairs_incremental": _P5.replace(" WHERE n_ab >= 5", "") + "SELECT tag_a, tag_b, n_ab, n_a, n_b, n_items FROM scored",
+    "p5_rescored": _P5.replace(" WHERE n_ab >= 5", "").rstrip()
+    + f""",
+day AS (SELECT date_trunc('day', make_timestamp(avg(epoch_us(created_at))::BIGINT)) AS day FROM neuron_list),
+old AS (
+  SELECT DISTINCT {key('id')} AS item, {key('t')} AS tag FROM (SELECT id, unnest(tags) AS t FROM neuron_list, day WHERE id IS NOT NULL AND created_at < day)
+  WHERE t IS NOT NULL AND {key('t')} <> ''),
+old_single AS (SELECT tag, count(*) AS n FROM old GROUP BY 1),
+old_pair AS (
+  SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS n FROM old a JOIN old b ON a.item = b.item AND a.tag < b.tag GROUP BY 1, 2),
+changed AS (
+  SELECT s.tag FROM single s LEFT JOIN old_single o ON o.tag = s.tag WHERE s.n <> coalesce(o.n, 0)
+  UNION SELECT unnest([p.tag_a, p.tag_b]) FROM pair p LEFT JOIN old_pair o ON o.tag_a = p.tag_a AND o.tag_b = p.tag_b WHERE p.n_ab <> coalesce(o.n, 0))
+SELECT tag_a, tag_b, n_ab, n_a, n_b, n_items FROM scored WHERE tag_a IN (FROM changed) OR tag_b IN (FROM changed)""",
     "p5_incremental": _P5 + "SELECT tag_a, tag_b, n_ab, n_a, n_b, n_items FROM scored",
 }

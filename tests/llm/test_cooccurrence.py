@@ -63,3 +63,21 @@ def test_queries_give_rare_pairs(spark, tmp_path):
     for name in ("p5_pairs", "p5_pairs_incremental"):
         got = {(r.tag_a, r.tag_b): (r.n_ab, r.n_a, r.n_b, r.n_items) for r in QUERIES[name](spark, str(tmp_path)).collect()}
         assert got == brute(ROWS) and min(n for n, *_ in got.values()) == 1
+
+
+def test_a_merge_rewrites_touched_buckets_only(spark):
+    table = P.PairTable(spark)
+    before, _ = P.grow(table, None, spark.createDataFrame(ROWS, S))
+    first = dict(table.where)
+    after, touched = P.grow(table, before, spark.createDataFrame([("h", ["q", "x"], "", 1), ("h", ["q"], "", 1), ("e", ["z"], "", 1)], S))
+    assert 0 < sum(v == 2 for v in table.where.values()) <= touched.count() and {b for b, v in table.where.items() if v == 1} <= set(first)
+    assert scores(table) == brute([*ROWS, ("h", ["q", "x"])])
+    assert {(r.item, tuple(r.basket)) for r in after.collect() if r.item in "eh"} == {("e", ("x", "y", "z")), ("h", ("q", "x"))}
+
+
+def test_batches(spark):
+    df = spark.createDataFrame([(i, tags, f"202{4 + k % 2}-09-01 00:00:00" if k else None) for k, (i, tags, *_) in enumerate(ROWS)], "id string, tags array<string>, at string")
+    df = df.selectExpr("id", "tags", "CAST(at AS timestamp_ntz) AS created_at")
+    assert scores(P.in_batches(df)[0]) == brute(ROWS)
+    table, touched = P.in_batches(df.limit(0))
+    assert scores(table) == {} and touched.count() == 0
