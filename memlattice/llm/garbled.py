@@ -30,6 +30,8 @@ DENSE = 4096
 HALF = 2e-6
 #: What an unseen pair scores, and how far one pair can push a segment.
 UNSEEN, LIMIT = 2.0, 3.0
+#: What a segment scores at least; less is what any two words that rarely meet have.
+LEAST = 0.25
 #: Nats by which a restored segment's mean pair must be likelier than the garbled one's.
 GAIN = 2.0
 #: What a pair of ASCII characters scores at least and at most.
@@ -87,26 +89,35 @@ def damaged(points: np.ndarray) -> np.ndarray:
 def invertible(points: np.ndarray) -> np.ndarray:
     """Marks characters inside sequences that are UTF-8 under one of the telling encodings."""
     hit = np.zeros(len(points), bool)
-    if not len(points) or points.max() < 128:
+    where = np.flatnonzero(points > 127)
+    if len(where) < 2:
         return hit
-    low = np.where(points < 0x10000, points, 0)
+    here = points[where]
+    low = np.where(here < 0x10000, here, 0)
+    # characters that are followed by one, two, three others without a gap
+    gap = np.r_[np.diff(where) != 1, True]
+    run = [~gap]
+    for _ in range(2):
+        run.append(run[-1] & np.r_[~gap[len(run) :], np.zeros(min(len(run), len(gap)), bool)])
     for name, t in _TABLES.items():
         b = t[low]
-        b[points >= 0x10000] = -1
+        b[here >= 0x10000] = -1
         follows = (b >= 0x80) & (b <= 0xBF)
         starts, ends = [], []
         for first, last, more in ((0xC2, 0xDF, 1), (0xE0, 0xEF, 2), (0xF0, 0xF4, 3)):
-            at = np.flatnonzero((b[: len(b) - more] >= first) & (b[: len(b) - more] <= last)) if len(b) > more else np.empty(0, int)
+            at = np.flatnonzero((b >= first) & (b <= last) & run[more - 1])
             for j in range(1, more + 1):
                 at = at[follows[at + j]]
             starts.append(at)
             ends.append(at + more + 1)
         start, end = np.concatenate(starts), np.concatenate(ends)
-        if name in _TELLING_TWICE:
-            twice = np.isin(start, end) | np.isin(end, start)
+        if name in _TELLING_TWICE and len(start):
+            first, after = np.zeros(len(here) + 1, bool), np.zeros(len(here) + 1, bool)
+            first[start], after[end] = True, True
+            twice = after[start] & ~gap[start - 1] | first[end] & ~gap[end - 1]
             start, end = start[twice], end[twice]
         for j in range(4):
-            hit[(start + j)[start + j < end]] = True
+            hit[where[(start + j)[start + j < end]]] = True
     return hit
 
 
@@ -129,6 +140,7 @@ def _points(texts: list[str]) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    plain = np.zeros(128 * 128, "i8")
     for batch in batches:
         for i in range(0, batch.num_rows, 512):
             texts = [t for t in batch.slice(i, 512).column(0).to_pylist() if t]
@@ -136,12 +148,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bad = damaged(p) | invertible(p)
             start = 1
             for t in texts:
-                for a, z in wide(t):
-                    bad[start + a : start + z] = True
+                if not t.isascii():
+                    for a, z in wide(t):
+                        bad[start + a : start + z] = True
                 start += len(t) + 1
-            keep = ~(bad[1:] | bad[:-1])
-            code, n = np.unique((p[:-1] << 21 | p[1:])[keep], return_counts=True)
+            a, b = p[:-1], p[1:]
+            ascii_pair = (a < 128) & (b < 128)
+            plain += np.bincount(a[ascii_pair] << 7 | b[ascii_pair], minlength=len(plain))
+            keep = ~(bad[1:] | bad[:-1] | ascii_pair)
+            code, n = np.unique(a[keep] << 21 | b[keep], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype("i8"))], names=["pair", "n"])
+    at = np.flatnonzero(plain)
+    yield pa.RecordBatch.from_arrays([pa.array((at >> 7) << 21 | at & 127), pa.array(plain[at])], names=["pair", "n"])
 
 
 @dataclass
@@ -205,19 +223,42 @@ class PairModel:
 
     def improbability(self, p: np.ndarray) -> np.ndarray:
         """Per pair: minus its discounted mutual information, between -LIMIT and LIMIT."""
-        ab, a, b = self.of(p)
+        if self.square and self.missed is None and not self.extra:
+            return self.scores[self.places(p)]
+        return self._improbability(*self.of(p))
+
+    def likelihood(self, p: np.ndarray) -> np.ndarray:
+        """Per pair: log of its share of all pairs, smoothed by those of its characters."""
+        if self.square and self.missed is None and not self.extra:
+            return self.logs[self.places(p)]
+        return self._likelihood(*self.of(p))
+
+    def _improbability(self, ab: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         mi = np.log(np.maximum(ab, 0.5) * self.total / (np.maximum(a, 0.5) * np.maximum(b, 0.5)))
         trust = ab / (ab + max(1.0, self.half * self.total))
         score = np.clip((1 - trust) * UNSEEN - trust * mi, -LIMIT, LIMIT)
         score[(a == 0) | (b == 0)] = LIMIT  # a character that no sound text of the corpus has
         return score
 
-    def likelihood(self, p: np.ndarray) -> np.ndarray:
-        """Per pair: log of its share of all pairs, smoothed by those of its characters."""
-        ab, a, b = self.of(p)
+    def _likelihood(self, ab: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         n = self.total
         return np.log(0.9 * ab / n + 0.1 * np.maximum(a, 0.1) / n * np.maximum(b, 0.1) / n + 1e-12)
 
+    def places(self, p: np.ndarray) -> np.ndarray:
+        at = self.square[0][p]
+        return at[:-1] * (len(self.points) + 1) + at[1:]
+
+    @cached_property
+    def scores(self) -> np.ndarray:
+        return self._improbability(*self._all()).astype("f4")
+
+    @cached_property
+    def logs(self) -> np.ndarray:
+        return self._likelihood(*self._all())
+
+    def _all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        one, n = np.append(self.singles, 0.0), len(self.points) + 1
+        return self.square[1], np.repeat(one, n), np.tile(one, n)
 
     def pair_likelihood(self, a: int, b: int) -> float:
         """``likelihood`` of one pair."""
@@ -278,6 +319,9 @@ def segments(score: np.ndarray) -> list[tuple[int, int]]:
     return [(k[0], k[1]) for k in kept]
 
 
+_EAST = re.compile("[\u2e80-\ufffd]").search
+
+
 def to_bytes(s: str, wrong: str) -> bytes | None:
     if wrong in _MULTI:
         try:
@@ -293,8 +337,10 @@ def to_bytes(s: str, wrong: str) -> bytes | None:
 
 def inverses(s: str) -> Iterator[tuple[str, str, str]]:
     """(restored, wrong, right) for every inverse mapping that ``s`` allows and that changes it."""
-    seen, told = set(), {s}
+    seen, told, east = set(), {s}, _EAST(s)
     for wrong in WRONG:
+        if wrong in _MULTI and not east:  # nearly all that these give is East Asian
+            continue
         raw = to_bytes(s, wrong)
         if raw is None or raw in seen:
             continue
@@ -447,7 +493,7 @@ class Finder:
         hurt: list[tuple[int, int]] = []
         bad = damaged(p)
         # pairs a..z-1 touch characters a..z of p, that is a-1..z-1 of the text; the longest come first
-        todo = sorted({(max(0, a - 1), min(len(text), z)) for a, z in segments(score)}, key=lambda s: (s[0] - s[1], s))
+        todo = sorted({(max(0, a - 1), min(len(text), z)) for a, z in segments(score) if score[a:z].sum() >= LEAST}, key=lambda s: (s[0] - s[1], s))
         every, dropped = list(todo), []
         held: list[Finding] = []
         tried = set()
