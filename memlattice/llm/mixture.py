@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -62,16 +63,23 @@ def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.
 
 
 def hypergeometric(good: int, bad: int, draws: int, rng: np.random.Generator) -> int:
+    """Marked ones among ``draws`` without replacement, for every size."""
     if good == 0 or draws == 0:
         return 0
     if bad == 0:
         return min(good, draws)
     if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, draws))
-    # beyond the generator's range: its normal limit, within the support
+    # beyond the generator's range: inversion of the distribution, summed where a double holds it at all
     n, p = good + bad, draws / (good + bad)
-    sd = math.sqrt(good * p * (1 - p) * bad / (n - 1))
-    return int(min(good, draws, max(0, draws - bad, round(rng.normal(good * p, sd)))))
+    low, high = max(0, draws - bad), min(good, draws)
+    mode = min(high, max(low, (draws + 1) * (good + 1) // (n + 2)))
+    spread = int(40 * math.sqrt(max(1.0, good * p * (1 - p) * bad / (n - 1)))) + 40
+    k = np.arange(max(low, mode - spread), min(high, mode + spread) + 1, dtype="i8")
+    step = np.log((good - k[:-1]).astype("f8")) + np.log((draws - k[:-1]).astype("f8")) - np.log(k[1:].astype("f8")) - np.log((bad - draws + k[1:]).astype("f8"))
+    log = np.concatenate([[0.0], np.cumsum(step)])
+    total = np.cumsum(np.exp(log - log.max()))
+    return int(k[np.searchsorted(total, rng.random() * total[-1], side="right")])
 
 
 def largest_total(tokens: dict[str, int], targets: dict[str, tuple[float, int]]) -> int:
@@ -80,13 +88,28 @@ def largest_total(tokens: dict[str, int], targets: dict[str, tuple[float, int]])
     return int(min(fits, default=0))
 
 
-def order_of(n: int, seed: int) -> tuple[int, int]:
-    """Multiplier and shift of a permutation x -> (x * a + c) mod n."""
-    rng = np.random.default_rng([seed, n])
-    a = int(rng.integers(1, max(2, n)))
-    while math.gcd(a, n) != 1:
-        a += 1
-    return a, int(rng.integers(0, max(1, n)))
+#: Halves of a block number and rounds of the keyed permutation of blocks.
+HALF_BITS, ROUNDS = 5, 6
+
+
+def place_of(block: int, source: str, turn: int, seed: int) -> int:
+    """Where a source's block stands in its order of pass ``turn``: a keyed (Feistel) permutation of 0..BLOCKS-1."""
+    left, right = block >> HALF_BITS, block & (1 << HALF_BITS) - 1
+    for r in range(ROUNDS):
+        mixed = int(hashlib.md5(f"{seed}|{source}|{turn}|{r}|{right}".encode()).hexdigest()[:8], 16)
+        left, right = right, left ^ mixed & (1 << HALF_BITS) - 1
+    return left << HALF_BITS | right
+
+
+def place_column(block: Column, source: Column, turn: Column, seed: int) -> Column:
+    """``place_of`` as a column."""
+    mask = F.lit((1 << HALF_BITS) - 1)
+    left, right = F.shiftright(block.cast("int"), HALF_BITS), block.cast("int").bitwiseAND(mask)
+    for r in range(ROUNDS):
+        text = F.concat_ws("|", F.lit(str(seed)), source, turn.cast("string"), F.lit(str(r)), right.cast("string"))
+        mixed = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+        left, right = right, left.bitwiseXOR(mixed.bitwiseAND(mask.cast("long")).cast("int"))
+    return F.shiftleft(left, HALF_BITS).bitwiseOR(right)
 
 
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, shards: int = 16, seed: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -101,7 +124,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     largest at which every source with tokens keeps its share; above it, sources run into
     max_repeats and their actual share falls short. Each source is cut into at most BLOCKS
     blocks by document hash; its quota is a number of passes over its permuted blocks, the
-    last block cut at a document, so a share is off by at most a document's length. Shards get
+    last block cut at a document (every pass of every source has its own order), so a share is off by at most a document's length. Shards get
     disjoint runs of the permuted blocks, sized by the splitting tree.
     Null or unlisted sources, null and empty texts aren't drawn; listed sources without
     documents come out with share 0; of repeated targets the largest share counts.
@@ -120,23 +143,27 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(BLOCKS)).cast("int")
     docs = materialize(token_counts(docs).withColumn("block", block), "sized")
     sizes: dict[str, np.ndarray] = {s: np.zeros(BLOCKS, "i8") for s in names}
-    for r in docs.groupBy("source", "block").agg(F.sum("n_tokens").alias("n")).collect():
-        sizes[r["source"]][r["block"]] = r["n"]
+    summed = docs.groupBy("source", "block").agg(F.sum("n_tokens").alias("n")).toArrow()  # sources x BLOCKS rows at most
+    for source, number, n in zip(*(summed.column(x).to_pylist() for x in ("source", "block", "n"))):
+        sizes[source][number] = n
 
-    plan, order, per = plan_draws(sizes, goal, total_tokens, shards, seed)
-    a, c = order
-    permuted = F.pmod(F.col("block") * F.lit(a) + F.lit(c), F.lit(BLOCKS)).cast("long")
+    plan, per = plan_draws(sizes, goal, total_tokens, shards, seed)
     lookup = lambda m, kind: F.element_at(F.create_map(*[F.lit(x).cast(kind) if i % 2 else F.lit(x) for p in m.items() for i, x in enumerate(p)]), F.col("source")) if m else F.lit(None).cast(kind)
     starts = F.element_at(F.create_map(*[x for s, v in plan.starts.items() for x in (F.lit(s), F.array(*[F.lit(n).cast("long") for n in v]))]), F.col("source")) if plan.starts else F.array().cast("array<bigint>")
-    d = docs.withColumn("_p", permuted).withColumn("_whole", lookup(plan.whole, "long")).withColumn("_part", lookup(plan.partial, "long"))
-    # draws of a block: one in each pass that reaches it
-    passes = F.when(F.col("_whole") > F.col("_p"), F.floor((F.col("_whole") - 1 - F.col("_p")) / BLOCKS)).otherwise(F.lit(-1))
-    whole = d.where(passes >= 0).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), passes)))
-    # the cut block: documents in hash order until the quota's rest is met as nearly as can be
-    cut = d.where((F.col("_part") > 0) & (F.col("_p") == F.col("_whole") % BLOCKS)).withColumn("copy", F.floor(F.col("_whole") / BLOCKS))
-    w = Window.partitionBy("source").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")
-    cut = cut.withColumn("_sum", F.sum("n_tokens").over(w)).where(F.col("_sum") - F.col("n_tokens") / 2 <= F.col("_part")).drop("_sum")
-    draws = whole.unionByName(cut).withColumn("_g", F.col("copy") * BLOCKS + F.col("_p"))
+    d = docs.withColumn("_whole", F.coalesce(lookup(plan.whole, "long"), F.lit(0))).withColumn("_part", F.coalesce(lookup(plan.partial, "long"), F.lit(0)))
+    # a document has a turn in each pass; in the last one its block's place decides, and one block is cut
+    turns = d.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_whole") / BLOCKS))))
+    turns = turns.withColumn("_g", F.col("copy") * BLOCKS + place_column(F.col("block"), F.col("source"), F.col("copy"), seed))
+    whole = turns.where("_g < _whole")
+    # the cut block: documents in hash order until the quota's rest is met as nearly as can be; sums of
+    # hash ranges come first, so no task orders a whole block
+    cut = materialize(turns.where("_g = _whole AND _part > 0").withColumn("_h", F.xxhash64("doc_id", F.lit(seed + 1))).withColumn("_r", F.shiftright("_h", 53)), "cut")
+    ranges = cut.groupBy("source", "_r").agg(F.sum("n_tokens").alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy("source").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select("source", "_r", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    inside = F.sum("n_tokens").over(Window.partitionBy("source", "_r").orderBy("_h", "doc_id"))
+    cut = cut.withColumn("_in", inside).join(ranges, ["source", "_r"]).where(F.col("_ahead") + F.col("_in") - F.col("n_tokens") / 2 <= F.col("_part")).select(whole.columns)
+    draws = whole.unionByName(cut)
     draws = draws.withColumn("shard", F.size(F.filter(starts, lambda s: s <= F.col("_g"))) - 1)
     draws = draws.select("shard", F.xxhash64("doc_id", "copy", F.lit(seed + 2)).alias("_o"), "source", "doc_id", F.col("copy").cast("int").alias("copy"), "n_tokens")
     # shuffled inside a shard: a random bucket first, so that no task sorts a whole shard
@@ -156,17 +183,15 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     return mixed, shares
 
 
-def plan_draws(sizes: dict[str, np.ndarray], goal: dict[str, tuple[float, int]], total: int | None, shards: int, seed: int) -> tuple[Plan, tuple[int, int], np.ndarray]:
+def plan_draws(sizes: dict[str, np.ndarray], goal: dict[str, tuple[float, int]], total: int | None, shards: int, seed: int) -> tuple[Plan, np.ndarray]:
     """Exact quotas in blocks from the block sizes, and their split among the shards."""
     tokens = {s: int(v.sum()) for s, v in sizes.items()}
     total = largest_total(tokens, goal) if total is None else total
-    a, c = order_of(BLOCKS, seed)
-    at = np.empty(BLOCKS, "i8")
-    at[(np.arange(BLOCKS) * a + c) % BLOCKS] = np.arange(BLOCKS)
     whole, partial = {}, {}
     for s, (share, cap) in goal.items():
         quota = min(int(round(share * total)), tokens[s] * cap)
         passes, rest = divmod(quota, tokens[s]) if tokens[s] else (0, 0)
+        at = np.argsort([place_of(b, s, passes, seed) for b in range(BLOCKS)])
         reach = np.cumsum(sizes[s][at])
         k = int(np.searchsorted(reach, rest, side="right")) if rest else 0
         whole[s] = passes * BLOCKS + k
@@ -174,4 +199,4 @@ def plan_draws(sizes: dict[str, np.ndarray], goal: dict[str, tuple[float, int]],
     quotas = np.array([whole[s] + (partial[s] > 0) for s in goal], "i8")
     per = split_tree(quotas, shards, np.random.default_rng(seed))
     starts = {s: np.concatenate([[0], np.cumsum(per[:-1, i])]).tolist() for i, s in enumerate(goal)}
-    return Plan(total, whole, partial, starts), (a, c), per
+    return Plan(total, whole, partial, starts), per

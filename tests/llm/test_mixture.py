@@ -56,3 +56,43 @@ def test_tree_is_exact():
         per = M.split_tree(q, shards, rng)
         assert (per.sum(axis=0) == q).all() and per.min() >= 0 and np.ptp(per.sum(axis=1)) <= shards.bit_length()
     assert 0 <= M.hypergeometric(3 * 10**9, 10**9, 10**9, rng) <= 10**9
+
+
+def test_every_pass_has_its_own_order(spark):
+    from pyspark.sql import functions as F
+
+    orders = {(s, t): [M.place_of(b, s, t, 5) for b in range(M.BLOCKS)] for s in ("a", "b") for t in (0, 1)}
+    assert all(sorted(o) == list(range(M.BLOCKS)) for o in orders.values()) and len({tuple(o) for o in orders.values()}) == 4
+    assert abs(np.corrcoef(range(M.BLOCKS), orders["a", 0])[0, 1]) < 0.1 and abs(np.corrcoef(orders["a", 0], orders["a", 1])[0, 1]) < 0.1
+    df = spark.range(M.BLOCKS).withColumn("s", F.lit("b"))
+    got = df.select("id", M.place_column(F.col("id"), F.col("s"), F.lit(1), 5).alias("p")).collect()
+    assert {r.id: r.p for r in got} == dict(enumerate(orders["b", 1]))
+
+
+def test_large_draws_follow_the_distribution():
+    rng = np.random.default_rng(3)
+    good, bad, draws = 3 * 10**9, 5 * 10**9, 2 * 10**9
+    x = np.array([M.hypergeometric(good, bad, draws, rng) for _ in range(300)], "f8")
+    n = good + bad
+    sd = (draws * (good / n) * (bad / n) * (n - draws) / (n - 1)) ** 0.5
+    assert abs(x.mean() - draws * good / n) < 5 * sd / 300**0.5 and 0.85 < x.std() / sd < 1.15
+    assert M.hypergeometric(5, 2 * 10**9, 2 * 10**9 + 4, rng) in (4, 5) and M.hypergeometric(2 * 10**9, 1, 2 * 10**9, rng) in (2 * 10**9 - 1, 2 * 10**9)
+
+
+def test_quotas_against_a_plain_count(spark):
+    """Each source's tokens, counted one by one, are within its longest document of its share, or at its cap."""
+    from memlattice.llm.tokens import encoder
+
+    d = docs(spark, [("big", 700), ("small", 25), ("mid", 150)])
+    t = spark.createDataFrame([("big", 0.4, 2, 0), ("small", 0.2, 3, 0), ("mid", 0.4, 4, 0)], T)
+    size = {r.doc_id: len(encoder().encode_batch([r.text])[0]) for r in d.where("text <> ''").collect()}
+    source = {r.doc_id: r.source for r in d.collect()}
+    total = 3000
+    draws, _ = M.mix(d, t, total_tokens=total)
+    got = Counter()
+    for r in draws.collect():
+        assert source[r.doc_id] == r.source and size[r.doc_id] == r.n_tokens
+        got[r.source] += r.n_tokens
+    for s, share, cap in (("big", 0.4, 2), ("small", 0.2, 3), ("mid", 0.4, 4)):
+        mine = [n for i, n in size.items() if source[i] == s]
+        assert abs(got[s] - min(share * total, cap * sum(mine))) <= max(mine)
