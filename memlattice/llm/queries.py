@@ -24,6 +24,11 @@ def p1_report(spark, d):
     return splitting.boundary_report(_pieces(spark, d))
 
 
+def p1_rejoined(spark, d):
+    """Every oversized chunk put together again from its pieces."""
+    return splitting.rejoined(_pieces(spark, d))
+
+
 def p4_found(spark, d):
     return clusters.similarity_clusters(read(spark, d, "neurons"))[0].select("cluster_id", "neuron_id")
 
@@ -128,7 +133,7 @@ def p10_report(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p1_report, p4_found, p4_clusters, p5_found, p5_scores, p5_incremental, p5_pairs, p5_pairs_incremental, p5_rescored, p6_found, p6_groups, p7_found, p7_neighbours, p8_ids, p8_report, p9_mixture, p9_shares, p10_found, p10_restored, p10_report)
+    for f in (p1_found, p1_pieces, p1_report, p1_rejoined, p4_found, p4_clusters, p5_found, p5_scores, p5_incremental, p5_pairs, p5_pairs_incremental, p5_rescored, p6_found, p6_groups, p7_found, p7_neighbours, p8_ids, p8_report, p9_mixture, p9_shares, p10_found, p10_restored, p10_report)
 }
 
 
@@ -154,6 +159,10 @@ SQL: dict[str, str] = {
     "p1_found": f"""
 WITH o AS (SELECT {key('profile')} AS p, max(chunk_size) AS s FROM chunk_options GROUP BY 1)
 SELECT DISTINCT {key('owner_id')} AS owner_id, idx FROM chunks c LEFT JOIN o ON o.p = {key('c.profile')}
+WHERE octet_length(chunk_data) > coalesce(o.s, (SELECT s FROM o WHERE p = 'default'))""",
+    "p1_rejoined": f"""
+WITH o AS (SELECT {key('profile')} AS p, max(chunk_size) AS s FROM chunk_options GROUP BY 1)
+SELECT DISTINCT {key('owner_id')} AS owner_id, idx, byte_offset, octet_length(chunk_data)::BIGINT AS size, sha256(chunk_data) AS content FROM chunks c LEFT JOIN o ON o.p = {key('c.profile')}
 WHERE octet_length(chunk_data) > coalesce(o.s, (SELECT s FROM o WHERE p = 'default'))""",
     "p5_found": _P5 + "SELECT tag_a, tag_b FROM scored WHERE n_items * n_ab >= 4 * n_a * n_b",
     "p5_scores": _P5

@@ -16,6 +16,8 @@ from memlattice.functions.keys import tidy
 DEFAULT_SIZE, DEFAULT_OVERLAP = 4096, 256
 #: A cut may move this share of a piece away from its target.
 SLACK = 0.25
+#: Share of a piece that it can have in common with the one before, at most.
+MOST_OVERLAP = 0.75
 #: A piece may begin this share of the overlap away from its exact place to meet a word's edge.
 GIVE = 0.25
 
@@ -93,24 +95,31 @@ def pieces(data: bytes, size: int, overlap: int) -> list[tuple[int, int, int]]:
     """(start, end, strength index of the end) of each piece; they cover ``data`` in order.
 
     No piece has more than ``size`` bytes. Consecutive pieces share ``overlap`` bytes as
-    nearly as the cuts allow; an overlap of more than half the size counts as half.
+    nearly as the cuts allow; ``cut`` tells the overlap that was aimed at.
     """
+    return cut(data, size, overlap)[0]
+
+
+def cut(data: bytes, size: int, overlap: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(pieces, overlap aimed at): the overlap that was asked for, but MOST_OVERLAP of the size at most,
+    and less where characters are too wide for it; the pieces are as few as these limits allow."""
     n = len(data)
     if n <= size:
-        return [(0, n, -1)]
-    overlap = max(0, min(overlap, size // 2))
+        return [(0, n, -1)], max(0, min(overlap, int(MOST_OVERLAP * size)))
+    overlap = max(0, min(overlap, int(MOST_OVERLAP * size)))
     places = Boundaries(data)
-    count = -(-(n - overlap) // (size - overlap))
     while True:
-        found = _attempt(places, n, size, overlap, count)
-        if found:
-            return found
-        count += max(1, count // 16)
-        if count > n:  # characters too wide for this overlap
-            if not overlap:
-                return _greedy(places, n, size)
-            overlap //= 2
-            count = -(-(n - overlap) // (size - overlap))
+        count = below = -(-(n - overlap) // (size - overlap))
+        while count <= n:
+            found = _attempt(places, n, size, overlap, count)
+            if found:
+                # the counts that were passed over
+                fewer = (_attempt(places, n, size, overlap, c) for c in range(below + 1, count))
+                return next((f for f in fewer if f), found), overlap
+            below, count = count, count + max(1, count // 16)
+        if not overlap:  # characters as wide as the limit
+            return _greedy(places, n, size), 0
+        overlap = overlap * 7 // 8
 
 
 def _greedy(places: Boundaries, n: int, size: int) -> list[tuple[int, int, int]]:
@@ -187,20 +196,20 @@ def oversized(chunks: DataFrame, options: DataFrame) -> DataFrame:
     return big.groupBy("owner_id", "idx").agg(F.max(row).alias("r")).select("owner_id", "idx", "r.*")
 
 
-_PIECES = "owner_id string, idx int, piece int, n_pieces int, byte_offset long, size int, shared int, boundary string, piece_data binary"
+_PIECES = "owner_id string, idx int, piece int, n_pieces int, byte_offset long, size int, shared int, overlap int, boundary string, piece_data binary"
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["owner_id", "idx", "piece", "n_pieces", "byte_offset", "size", "shared", "boundary", "piece_data"]
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
+    names = ["owner_id", "idx", "piece", "n_pieces", "byte_offset", "size", "shared", "overlap", "boundary", "piece_data"]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             out = []
             for owner, idx, offset, size, overlap, data in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns)):
-                found = pieces(data, size, overlap)
+                found, used = cut(data, size, overlap)
                 before = 0
                 for k, (a, z, s) in enumerate(found):
-                    out.append((owner, idx, k, len(found), None if offset is None else offset + a, z - a, max(0, before - a), KINDS[s] if s >= 0 else "end", data[a:z]))
+                    out.append((owner, idx, k, len(found), None if offset is None else offset + a, z - a, max(0, before - a), used, KINDS[s] if s >= 0 else "end", data[a:z]))
                     before = z
             columns = list(zip(*out)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=names)
@@ -209,9 +218,10 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def split(chunks: DataFrame, options: DataFrame) -> DataFrame:
     """The pieces of every oversized chunk.
 
-    (owner_id, idx, piece, n_pieces, byte_offset, size, shared, boundary, piece_data):
+    (owner_id, idx, piece, n_pieces, byte_offset, size, shared, overlap, boundary, piece_data):
     ``byte_offset`` counts in the owner's data (null where the chunk's is), ``shared`` is
-    the overlap with the piece before, ``boundary`` what the piece ends at. The least
+    the overlap with the piece before, ``overlap`` the one aimed at (the profile's unless
+    ``cut`` had to lower it), ``boundary`` what the piece ends at. The least
     number of pieces gets equally spaced targets, each moves to the strongest boundary
     nearby, and pieces are added while a limit fails. The bytes count, not ``size``;
     null data has no pieces; data that isn't UTF-8 may be cut between any two bytes
@@ -226,3 +236,13 @@ def boundary_report(found: DataFrame) -> DataFrame:
     return found.groupBy("boundary").agg(
         F.count("*").alias("n_pieces"), F.sum("size").alias("n_bytes"), F.max("size").alias("max_size"), F.round(F.avg("shared"), 3).alias("avg_shared")
     )
+
+
+def rejoined(found: DataFrame) -> DataFrame:
+    """(owner_id, idx, byte_offset, size, content): each chunk from its pieces without what they share, as its SHA-256."""
+    part = F.struct("piece", "byte_offset", F.expr("substring(piece_data, shared + 1)").alias("data"))
+    whole = found.groupBy("owner_id", "idx").agg(F.array_sort(F.collect_list(part)).alias("p"))
+    data = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["data"]))
+    return whole.select("owner_id", "idx", F.col("p")[0]["byte_offset"].alias("byte_offset"), data.alias("d")).select(
+        "owner_id", "idx", "byte_offset", F.octet_length("d").cast("long").alias("size"), F.sha2("d", 256).alias("content")
+    )

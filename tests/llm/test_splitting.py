@@ -64,3 +64,20 @@ def test_table(spark):
 def test_long():
     data = ("가나다. " * 200_000).encode()
     assert len(check(data, 4096, 256)) == pytest.approx(len(data) / 3840, rel=0.1)
+
+
+def test_wide_overlap_is_reported():
+    data = b"some words in a row " * 60
+    for overlap, used in ((100, 100), (180, 150), (500, 150), (0, 0)):
+        ps, told = S.cut(data, 200, overlap)
+        assert told == used and abs(sum(z - b for (_, z, _), (b, _, _) in zip(ps, ps[1:])) / (len(ps) - 1) - used) <= 0.25 * used + 1
+    wide = "🚀".encode() * 30
+    ps, told = S.cut(wide, 8, 6)
+    assert told < 6 and all(z - a <= 8 for a, z, _ in ps)
+
+
+def test_pieces_are_as_few_as_can_be():
+    for n in (9_000, 40_000):
+        data = b"x" * n
+        ps, overlap = S.cut(data, 300, 20)
+        assert len(ps) == -(-(n - overlap) // (300 - overlap))
