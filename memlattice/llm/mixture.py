@@ -101,15 +101,15 @@ def place_of(block: int, source: str, turn: int, seed: int) -> int:
     return left << HALF_BITS | right
 
 
-def place_column(block: Column, source: Column, turn: Column, seed: int) -> Column:
-    """``place_of`` as a column."""
-    mask = F.lit((1 << HALF_BITS) - 1)
-    left, right = F.shiftright(block.cast("int"), HALF_BITS), block.cast("int").bitwiseAND(mask)
+def with_place(rows: DataFrame, seed: int) -> DataFrame:
+    """``rows`` (block, source, copy) with ``place_of`` as ``_place``; a column a round, so that none is computed twice."""
+    mask = (1 << HALF_BITS) - 1
+    out = rows.withColumn("_left", F.shiftright(F.col("block").cast("int"), HALF_BITS)).withColumn("_right", F.col("block").cast("int").bitwiseAND(F.lit(mask)))
     for r in range(ROUNDS):
-        text = F.concat_ws("|", F.lit(str(seed)), source, turn.cast("string"), F.lit(str(r)), right.cast("string"))
-        mixed = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
-        left, right = right, left.bitwiseXOR(mixed.bitwiseAND(mask.cast("long")).cast("int"))
-    return F.shiftleft(left, HALF_BITS).bitwiseOR(right)
+        text = F.concat_ws("|", F.lit(str(seed)), "source", F.col("copy").cast("string"), F.lit(str(r)), F.col("_right").cast("string"))
+        mixed = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(mask).cast("long")).cast("int")
+        out = out.withColumn("_mixed", mixed).withColumns({"_left": F.col("_right"), "_right": F.col("_left").bitwiseXOR(F.col("_mixed"))})
+    return out.withColumn("_place", F.shiftleft("_left", HALF_BITS).bitwiseOR(F.col("_right"))).drop("_left", "_right", "_mixed")
 
 
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, shards: int = 16, seed: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -153,7 +153,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     d = docs.withColumn("_whole", F.coalesce(lookup(plan.whole, "long"), F.lit(0))).withColumn("_part", F.coalesce(lookup(plan.partial, "long"), F.lit(0)))
     # a document has a turn in each pass; in the last one its block's place decides, and one block is cut
     turns = d.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_whole") / BLOCKS))))
-    turns = turns.withColumn("_g", F.col("copy") * BLOCKS + place_column(F.col("block"), F.col("source"), F.col("copy"), seed))
+    # written, or a filter on the place would be pushed below and work it out again
+    turns = materialize(with_place(turns, seed).withColumn("_g", F.col("copy") * BLOCKS + F.col("_place")).drop("_place"), "turns")
     whole = turns.where("_g < _whole")
     # the cut block: documents in hash order until the quota's rest is met as nearly as can be; sums of
     # hash ranges come first, so no task orders a whole block

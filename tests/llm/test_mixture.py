@@ -64,9 +64,8 @@ def test_every_pass_has_its_own_order(spark):
     orders = {(s, t): [M.place_of(b, s, t, 5) for b in range(M.BLOCKS)] for s in ("a", "b") for t in (0, 1)}
     assert all(sorted(o) == list(range(M.BLOCKS)) for o in orders.values()) and len({tuple(o) for o in orders.values()}) == 4
     assert abs(np.corrcoef(range(M.BLOCKS), orders["a", 0])[0, 1]) < 0.1 and abs(np.corrcoef(orders["a", 0], orders["a", 1])[0, 1]) < 0.1
-    df = spark.range(M.BLOCKS).withColumn("s", F.lit("b"))
-    got = df.select("id", M.place_column(F.col("id"), F.col("s"), F.lit(1), 5).alias("p")).collect()
-    assert {r.id: r.p for r in got} == dict(enumerate(orders["b", 1]))
+    df = spark.range(M.BLOCKS).select(F.col("id").alias("block"), F.lit("b").alias("source"), F.lit(1).alias("copy"))
+    assert {r.block: r._place for r in M.with_place(df, 5).collect()} == dict(enumerate(orders["b", 1]))
 
 
 def test_large_draws_follow_the_distribution():
