@@ -468,17 +468,19 @@ class Finder:
         options = self.options_of(s)
         if not options.texts:
             return None
-        least = self.mean(before, s, after) + GAIN
-        ends, found = bool(before) + bool(after), None
+        here = self.mean(before, s, after)
+        least, ends, found = here + GAIN, bool(before) + bool(after), None
+        pairs = max(1, len(s) - 1 + ends)
         for i in np.argsort(-options.bound, kind="stable").tolist():
             t, wrong, right = options.texts[i]
             n = len(t) - 1 + ends
             # no pair is likelier than the top one, so neither neighbour lifts the mean beyond this
-            if (options.sum[i] + ends * self.top) <= least * n:
-                if options.bound[i] + 2 * abs(self.top) / max(1, n) < least:
-                    break
+            if right != "utf-8" and options.sum[i] + ends * self.top <= least * n:
                 continue
-            gain = (options.sum[i] + (self.pair(before, t[0]) if before else 0.0) + (self.pair(t[-1], after) if after else 0.0)) / n if n else 0.0
+            total = options.sum[i] + (self.pair(before, t[0]) if before else 0.0) + (self.pair(t[-1], after) if after else 0.0)
+            gain = total / n if n else 0.0
+            if right == "utf-8":  # fewer characters than bytes: what the whole text gains, for each pair that it had
+                gain = max(gain, here + (total - here * pairs) / pairs)
             if gain > least:
                 found, least = (t, wrong, right), gain
         if found and not found[0].isascii():
@@ -577,6 +579,11 @@ class Finder:
             x -= 1
         while y < len(text) and ord(text[y]) > 127:
             y += 1
+        # characters below @ are no part of any encoding's characters of several bytes
+        while x < y and text[x] < "@":
+            x += 1
+        while y > x and text[y - 1] < "@":
+            y -= 1
         yield x, y
         u, v = x, y
         while u < v and text[u].isascii():
