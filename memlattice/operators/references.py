@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from memlattice.functions.keys import current_rows, tidy
 
 #: A key that has more than one in HOT_SHARE of all references is spread over SALTS tasks.
-HOT_SHARE = 64
-SALTS = 32
+HOT_SHARE = 1024
+SALTS = 128
 
 
 def references(df: DataFrame, table: str, record: Column, field: str, key: Column, at: Column) -> DataFrame:
@@ -34,13 +34,15 @@ def hot_keys(refs: DataFrame, key: str = "missing_key") -> list[str]:
 def dangling(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """The references whose parent isn't valid at ``ref_at``, with ``reason``.
 
-    ``parents`` has one row per ``parent_key`` with its validity: ``valid_from``
-    (null: unknown) and ``gone``. Both sides are hash partitioned and sorted by key and
+    ``parents`` has one row per ``parent_key`` with its validity: the interval from
+    ``valid_from`` (null: unknown) to ``valid_to`` (null: open, or its end isn't known), and
+    ``gone``: whether it has ended by now. Both sides are hash partitioned and sorted by key and
     merged in one linear pass (a sort-merge join); hot keys are salted, their single
     parent row copied per salt. reason is ``missing``, ``deleted`` or ``late`` (the
     parent begins after the reference; where both times are known). Each distinct
     reference comes out once, under the first reason that holds in that order, with
-    its earliest ``ref_at``. Empty inputs: without parents all references are missing.
+    its earliest ``ref_at`` and with ``made``: whether it was made before, during or after
+    its parent's interval (never: no parent; unknown: a time is; of repeats the first by name). Empty inputs: without parents all references are missing.
     """
     hot = hot_keys(refs)
     is_hot = lambda c: F.col(c).isin(hot) if hot else F.lit(False)
@@ -56,12 +58,20 @@ def dangling(refs: DataFrame, parents: DataFrame) -> DataFrame:
         .when(F.col("gone"), "deleted")
         .when(F.col("valid_from") > F.col("ref_at"), "late")
     )
+    valid_to = F.col("valid_to") if "valid_to" in parents.columns else F.lit(None)
+    made = (
+        F.when(F.col("parent_key").isNull(), "never")
+        .when(F.col("ref_at") < F.col("valid_from"), "before")
+        .when(F.col("ref_at") > valid_to, "after")
+        .when(F.col("ref_at") >= F.col("valid_from"), "during")
+        .otherwise("unknown")
+    )
     rank = F.when(F.col("reason") == "missing", 0).when(F.col("reason") == "deleted", 1).otherwise(2)
     return (
-        joined.withColumn("reason", reason)
+        joined.withColumn("reason", reason).withColumn("made", made)
         .where(F.col("reason").isNotNull())
         .groupBy("ref_table", "record_id", "field_name", "missing_key")
-        .agg(F.min_by("reason", rank).alias("reason"), F.min("ref_at").alias("ref_at"))
+        .agg(F.min_by("reason", rank).alias("reason"), F.min("ref_at").alias("ref_at"), F.min("made").alias("made"))
     )
 
 
@@ -70,6 +80,7 @@ def neuron_parents(neurons: DataFrame) -> DataFrame:
     return current_rows(neurons, "id", "updated_at", ["deleted_at", "created_at"]).select(
         F.col("id").alias("parent_key"),
         F.col("created_at").alias("valid_from"),
+        F.col("deleted_at").alias("valid_to"),
         F.col("deleted_at").isNotNull().alias("gone"),
     )
 
@@ -81,7 +92,7 @@ def chunk_parents(chunk_metadata: DataFrame) -> DataFrame:
         .where(F.col("parent_key").isNotNull())
         .groupBy("parent_key")
         .agg(F.min("created_at").alias("valid_from"), F.max("ref_count").alias("_n"))
-        .select("parent_key", "valid_from", F.coalesce(F.col("_n") <= 0, F.lit(False)).alias("gone"))
+        .select("parent_key", "valid_from", F.lit(None).cast("timestamp_ntz").alias("valid_to"), F.coalesce(F.col("_n") <= 0, F.lit(False)).alias("gone"))
     )
 
 
@@ -111,3 +122,8 @@ def dangling_report(found: DataFrame) -> DataFrame:
         found.groupBy("ref_table", "field_name", "reason", F.date_format("ref_at", "yyyy-MM").alias("month"))
         .agg(F.count("*").alias("n_refs"), F.countDistinct("record_id").alias("n_records"))
     )
+
+
+def interval_report(found: DataFrame) -> DataFrame:
+    """Counts per table, field, reason and place of the reference beside its parent's validity interval."""
+    return found.groupBy("ref_table", "field_name", "reason", "made").agg(F.count("*").alias("n_refs"))

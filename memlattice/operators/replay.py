@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from memlattice.functions.keys import tidy
 
-HOT_SHARE = 64
-SALTS = 32
+#: An entity that has more than one in HOT_SHARE of all changes is spread over SALTS tasks.
+HOT_SHARE = 1024
+SALTS = 128
 CREATE, UPDATE, DELETE = 1, 2, 3
 _NO_TIME = -(1 << 62)
 _NO_SEQUENCE = 1 << 62
@@ -23,28 +25,67 @@ def _covers(a: dict, b: dict) -> bool:
     return all(a.get(k, 0) >= v for k, v in b.items())
 
 
-def push(front: list[tuple], change: tuple) -> None:
-    """Keep ``front`` the set of changes that no other change comes after by clock.
+class Front:
+    """The changes that no other change comes after by clock.
 
-    A change is (clock, at, sequence, node, op, payload). A change that is there
-    already (same node and clock) is skipped; the smaller sequence stays.
+    A change is (clock, at, sequence, node, op, payload). One that is there already (same
+    node and clock) is skipped; the smaller sequence stays. Clocks are compared only
+    where one can cover the other: with those that know the change's own node, and with
+    those whose own node the change knows; changes that lack their node's count are few.
     """
-    clock, at, sequence, node = change[:4]
-    for i, x in enumerate(front):
-        if x[0] == clock:
-            if x[3] == node:
-                if sequence < x[2]:
-                    front[i] = change
-                return
-        elif _covers(x[0], clock):
-            return
-    front[:] = [x for x in front if x[0] == clock or not _covers(clock, x[0])]
-    front.append(change)
 
+    __slots__ = ("changes", "knows", "own", "odd")
 
-def newest(front: list[tuple]) -> tuple | None:
+    def __init__(self) -> None:
+        self.changes: dict[int, tuple] = {}
+        self.knows: dict[str, dict[int, tuple]] = {}
+        self.own: dict[str, dict[int, tuple]] = {}
+        self.odd: dict[int, tuple] = {}
+
+    def push(self, change: tuple) -> None:
+        clock, _, sequence, node = change[:4]
+        for x in list((self.knows.get(node, {}) if node in clock else self.changes).values()):
+            if x[0] == clock:
+                if x[3] == node:
+                    if sequence < x[2]:
+                        self.drop(x)
+                        self.add(change)
+                    return
+            elif _covers(x[0], clock):
+                return
+        covered = [x for k in clock for x in self.own.get(k, {}).values() if x[0] != clock and _covers(clock, x[0])]
+        covered += [x for x in self.odd.values() if x[0] != clock and _covers(clock, x[0])]
+        for x in covered:
+            self.drop(x)
+        self.add(change)
+
+    def add(self, x: tuple) -> None:
+        self.changes[id(x)] = x
+        for k in x[0]:
+            self.knows.setdefault(k, {})[id(x)] = x
+        (self.own.setdefault(x[3], {}) if x[3] in x[0] else self.odd)[id(x)] = x
+
+    def drop(self, x: tuple) -> None:
+        del self.changes[id(x)]
+        for k in x[0]:
+            del self.knows[k][id(x)]
+        del (self.own[x[3]] if x[3] in x[0] else self.odd)[id(x)]
+
+
+def newest(front: Front) -> tuple | None:
     """Of the clock-maximal changes the one with the latest wall clock, then the largest sequence."""
-    return max(front, key=lambda x: (x[1], x[2])) if front else None
+    return max(front.changes.values(), key=lambda x: (x[1], x[2]), default=None)
+
+
+def fields_of(payload: str | None) -> dict[str, str]:
+    """The top-level columns of a JSON object with their values as text (null: the column's value is null); else none."""
+    try:
+        found = json.loads(payload) if payload else None
+    except ValueError:
+        found = None
+    if not isinstance(found, dict):
+        return {}
+    return {k: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in found.items()}
 
 
 def is_after(x: tuple, y: tuple) -> bool:
@@ -61,22 +102,26 @@ class EntityState:
 
     Under a total order the entity is live if its last create comes after its last
     delete, and then the last change of all stands (it is that create or an update after
-    it). Frontiers merge in any order, so parts of one entity can be replayed apart.
+    it). With ``columns`` each column of the payloads has its own frontier too: an update
+    that carries some columns leaves the others, and what came before the last create is
+    gone. Frontiers merge in any order, so parts of one entity can be replayed apart.
     """
 
-    __slots__ = ("creates", "deletes", "all")
+    __slots__ = ("creates", "deletes", "all", "columns")
 
-    def __init__(self) -> None:
-        self.creates: list[tuple] = []
-        self.deletes: list[tuple] = []
-        self.all: list[tuple] = []
+    def __init__(self, columns: bool = False) -> None:
+        self.creates, self.deletes, self.all = Front(), Front(), Front()
+        self.columns: dict[str, Front] | None = {} if columns else None
 
     def apply(self, change: tuple) -> None:
-        push(self.all, change)
+        self.all.push(change)
         if change[4] == CREATE:
-            push(self.creates, change)
+            self.creates.push(change)
         elif change[4] == DELETE:
-            push(self.deletes, change)
+            self.deletes.push(change)
+        if self.columns is not None and change[4] != DELETE:
+            for name in fields_of(change[5]):
+                self.columns.setdefault(name, Front()).push(change)
 
     def standing(self) -> tuple | None:
         create, delete = newest(self.creates), newest(self.deletes)
@@ -84,34 +129,52 @@ class EntityState:
             return None
         return newest(self.all)
 
+    def merged(self) -> Iterator[tuple[str, str | None, int]]:
+        """(column, value, sequence) of a live entity's columns."""
+        create = newest(self.creates)
+        for name in sorted(self.columns or ()):
+            last = newest(self.columns[name])
+            if last is create or is_after(last, create):
+                yield name, fields_of(last[5])[name], last[2]
+
     def parts(self) -> Iterator[tuple]:
         seen = set()
-        for x in (*self.all, *self.creates, *self.deletes):
-            if id(x) not in seen:
-                seen.add(id(x))
-                yield x
+        for front in (self.all, self.creates, self.deletes, *(self.columns or {}).values()):
+            for x in front.changes.values():
+                if id(x) not in seen:
+                    seen.add(id(x))
+                    yield x
+
 
+_COLUMNS = "entity_type string, entity_id string, column string, value string, sequence long"
 
-def _replayer(final: bool):
+
+def _replayer(final: bool, columns: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("entity_type", pa.string()), ("entity_id", pa.string()), ("op", pa.int32()), ("sequence", pa.int64()), ("at", pa.int64()), ("node_id", pa.string()), ("clock", pa.map_(pa.string(), pa.int64())), ("payload", pa.string())])
+        if final and columns:
+            schema = pa.schema([("entity_type", pa.string()), ("entity_id", pa.string()), ("column", pa.string()), ("value", pa.string()), ("sequence", pa.int64())])
         key, state, out = None, None, []
 
         def emit() -> None:
+            if final and columns:
+                if state.standing():
+                    out.extend((*key, *x) for x in state.merged())
+                return
             for x in [y for y in (state.standing(),) if y] if final else state.parts():
                 out.append((*key, x[4], x[2], x[1], x[3], list(x[0].items()), x[5]))
 
         def table() -> pa.RecordBatch:
-            columns = list(zip(*out)) or [()] * len(schema)
+            rows = list(zip(*out)) or [()] * len(schema)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(rows, schema)], schema=schema)
 
         for b in batches:
             for et, ei, op, seq, at, node, clock, payload in zip(*(c.to_pylist() for c in b.columns)):
                 if (et, ei) != key:
                     if key is not None:
                         emit()
-                    key, state = (et, ei), EntityState()
+                    key, state = (et, ei), EntityState(columns)
                 state.apply(({k: v for k, v in clock or () if v}, at, seq, node, op, payload))
             if len(out) > 5000:
                 yield table()
@@ -160,18 +223,7 @@ def replay(journal: DataFrame) -> DataFrame:
     last and comes out null; null payload stays null; extra columns are ignored; an
     empty journal gives no rows.
     """
-    feed = changes(journal)
-    hot = hot_entities(feed)
-    order = ["entity_type", "entity_id", "sequence"]
-    columns = feed.columns
-    if hot:
-        entity = F.concat_ws("\u0001", "entity_type", "entity_id")
-        salt = F.pmod(F.xxhash64("node_id", F.array_sort(F.map_entries("clock")).cast("string")), F.lit(SALTS))
-        feed = feed.withColumn("_salt", F.when(entity.isin(hot), salt).otherwise(F.lit(0)))
-        parts = feed.repartition("entity_type", "entity_id", "_salt").sortWithinPartitions("entity_type", "entity_id", "_salt", "sequence").select(columns)
-        feed = parts.mapInArrow(_replayer(final=False), _STATE)
-    ready = feed.repartition("entity_type", "entity_id").sortWithinPartitions(*order).select(columns)
-    live = ready.mapInArrow(_replayer(final=True), _STATE)
+    live = _replayed(journal, _replayer(final=False), _replayer(final=True), _STATE)
     return live.select(
         "entity_type",
         "entity_id",
@@ -183,6 +235,33 @@ def replay(journal: DataFrame) -> DataFrame:
     )
 
 
+def replay_columns(journal: DataFrame) -> DataFrame:
+    """The columns of the live entities: (entity_type, entity_id, column, value, sequence).
+
+    Payloads are partial: a change sets the columns (top-level keys of a JSON object) that
+    it carries and leaves the others as earlier changes since the last create left
+    them. ``value`` is text (null for JSON's null), ``sequence`` that of the change that
+    set it. Payloads that are null, empty, cut off or no objects set nothing, so an entity without any
+    column has no row; else as ``replay``.
+    """
+    found = _replayed(journal, _replayer(final=False, columns=True), _replayer(final=True, columns=True), _COLUMNS)
+    return found.withColumn("sequence", F.when(F.col("sequence") != _NO_SEQUENCE, F.col("sequence")))
+
+
+def _replayed(journal: DataFrame, part, whole, shape: str) -> DataFrame:
+    feed = changes(journal)
+    hot = hot_entities(feed)
+    columns = feed.columns
+    if hot:
+        entity = F.concat_ws("\u0001", "entity_type", "entity_id")
+        salt = F.pmod(F.xxhash64("node_id", F.array_sort(F.map_entries("clock")).cast("string")), F.lit(SALTS))
+        feed = feed.withColumn("_salt", F.when(entity.isin(hot), salt).otherwise(F.lit(0)))
+        parts = feed.repartition("entity_type", "entity_id", "_salt").sortWithinPartitions("entity_type", "entity_id", "_salt", "sequence").select(columns)
+        feed = parts.mapInArrow(part, _STATE)
+    ready = feed.repartition("entity_type", "entity_id").sortWithinPartitions("entity_type", "entity_id", "sequence").select(columns)
+    return ready.mapInArrow(whole, shape)
+
+
 def live_report(live: DataFrame) -> DataFrame:
     """Live entities and the span of their standing changes per entity type."""
     return live.groupBy("entity_type").agg(

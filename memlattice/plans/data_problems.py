@@ -23,6 +23,11 @@ def p2_report(spark, d):
     return references.dangling_report(_dangling(spark, d))
 
 
+def p2_intervals(spark, d):
+    """Dangling references by where they stand beside the validity interval of what they name."""
+    return references.interval_report(_dangling(spark, d))
+
+
 def p3_found(spark, d):
     return replay.replay(read(spark, d, "journal")).select("entity_type", "entity_id", "sequence")
 
@@ -31,11 +36,16 @@ def p3_state(spark, d):
     return replay.replay(read(spark, d, "journal")).select("entity_type", "entity_id", "sequence", "payload", "node_id")
 
 
+def p3_columns(spark, d):
+    """The columns of the live entities, each with the change that set it: payloads are partial."""
+    return replay.replay_columns(read(spark, d, "journal"))
+
+
 def p3_report(spark, d):
     return replay.live_report(replay.replay(read(spark, d, "journal")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_state, p3_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_intervals, p3_found, p3_state, p3_columns, p3_report)}
 
 _P2 = f"""
 WITH cur AS (
@@ -46,9 +56,9 @@ cur2 AS (
   SELECT {key('n.id')} AS id, max(n.deleted_at) AS gone, max(n.created_at) AS created_at, max(n.chunk_hashes) AS chunk_hashes
   FROM neurons n JOIN cur ON {key('n.id')} = cur.id AND n.updated_at = cur.u GROUP BY 1),
 par AS (
-  SELECT 'n' AS kind, id AS k, created_at AS f, gone IS NOT NULL AS gone FROM cur2
+  SELECT 'n' AS kind, id AS k, created_at AS f, gone AS t, gone IS NOT NULL AS gone FROM cur2
   UNION ALL
-  SELECT 'c', {key('hash')}, min(created_at), coalesce(max(ref_count) <= 0, false) FROM chunk_metadata WHERE hash IS NOT NULL GROUP BY 1, 2),
+  SELECT 'c', {key('hash')}, min(created_at), NULL, coalesce(max(ref_count) <= 0, false) FROM chunk_metadata WHERE hash IS NOT NULL GROUP BY 1, 2),
 refs AS (
   SELECT 'synapses' AS ref_table, {key('id')} AS record_id, 'source_id' AS field_name, {key('source_id')} AS missing_key, 'n' AS kind, created_at AS ts FROM synapses
   UNION ALL
@@ -57,11 +67,12 @@ refs AS (
   SELECT 'neurons', id, 'chunk_hashes', {key('h')}, 'c', created_at FROM (SELECT id, created_at, unnest(chunk_hashes) AS h FROM cur2)),
 bad AS (
   SELECT ref_table, record_id, field_name, missing_key, ts,
-         CASE WHEN par.k IS NULL THEN 'missing' WHEN par.gone THEN 'deleted' WHEN par.f > refs.ts THEN 'late' END AS reason
+         CASE WHEN par.k IS NULL THEN 'missing' WHEN par.gone THEN 'deleted' WHEN par.f > refs.ts THEN 'late' END AS reason,
+         CASE WHEN par.k IS NULL THEN 'never' WHEN refs.ts < par.f THEN 'before' WHEN refs.ts > par.t THEN 'after' WHEN refs.ts >= par.f THEN 'during' ELSE 'unknown' END AS made
   FROM refs LEFT JOIN par ON par.kind = refs.kind AND par.k = refs.missing_key WHERE refs.missing_key IS NOT NULL),
 found AS (
   SELECT ref_table, record_id, field_name, missing_key, min(ts) AS ts,
-         arg_min(reason, CASE reason WHEN 'missing' THEN 0 WHEN 'deleted' THEN 1 ELSE 2 END) AS reason
+         min(made) AS made, arg_min(reason, CASE reason WHEN 'missing' THEN 0 WHEN 'deleted' THEN 1 ELSE 2 END) AS reason
   FROM bad WHERE reason IS NOT NULL GROUP BY ALL)
 """
 
@@ -90,6 +101,20 @@ live AS (
 SQL = {
     "p2_found": _P2 + "SELECT ref_table, record_id, field_name, missing_key FROM found",
     "p2_report": _P2 + "SELECT ref_table, field_name, reason, strftime(ts, '%Y-%m') AS month, count(*) AS n_refs, count(DISTINCT record_id) AS n_records FROM found GROUP BY ALL",
+    "p2_intervals": _P2 + "SELECT ref_table, field_name, reason, made, count(*) AS n_refs FROM found GROUP BY ALL",
+    "p3_columns": _P3.rstrip().replace(
+        "FROM ch WHERE op <> 'update'),",
+        """FROM ch WHERE op <> 'update'
+  UNION ALL SELECT *, 'column ' || unnest(json_keys(payload)) FROM ch WHERE op <> 'delete' AND json_valid(payload)),""",
+        1,
+    )
+    + """
+SELECT f.entity_type, f.entity_id, substr(f.part, 8) AS "column", f.payload ->> ('$."' || substr(f.part, 8) || '"') AS value, f.sequence
+FROM one f JOIN live USING (entity_type, entity_id) JOIN one c ON c.part = 'create' AND c.entity_type = f.entity_type AND c.entity_id = f.entity_id
+WHERE f.part LIKE 'column %' AND (f.sequence = c.sequence OR CASE
+    WHEN len(list_filter(map_keys(c.c), lambda k: coalesce(f.c[k], 0) < c.c[k])) = 0 AND f.c <> c.c THEN true
+    WHEN len(list_filter(map_keys(f.c), lambda k: coalesce(c.c[k], 0) < f.c[k])) = 0 AND f.c <> c.c THEN false
+    ELSE (f.ts, f.sequence) > (c.ts, c.sequence) END)""",
     "p3_found": _P3 + "SELECT entity_type, entity_id, sequence FROM live",
     "p3_state": _P3 + "SELECT entity_type, entity_id, sequence, payload, node_id FROM live",
     "p3_report": _P3 + "SELECT entity_type, count(*) AS n_live, count(payload) AS n_with_payload, max(sequence) AS last_sequence FROM live GROUP BY 1",

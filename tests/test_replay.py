@@ -96,3 +96,32 @@ def test_hot_entity_is_split(spark):
     assert R.hot_entities(R.changes(j)) == ["neuron\u0001hot"]
     got = {r.entity_id: r.sequence for r in R.replay(j).collect()}
     assert got["hot"] == n // 2 and len(got) == n // 2 + 1
+
+
+def test_partial_columns(spark):
+    rows = [
+        (1, "n", "create", "a", '{"x": 1, "y": "old", "gone": 1}', {"p": 1}, at(1), "p"), (2, "n", "delete", "a", None, {"p": 2}, at(2), "p"),
+        (3, "n", "create", "a", '{"x": 2, "y": "é"}', {"p": 3}, at(3), "p"), (9, "n", "update", "a", '{"x": null, "z": [1, 2]}', {"p": 5}, at(9), "p"),
+        (5, "n", "update", "a", '{"x": 7, "w": 0.5}', {"p": 4}, at(8), "p"), (6, "n", "update", "a", None, {"p": 6}, at(10), "p"),
+        (7, "n", "update", "a", "[1]", {"p": 7}, at(11), "p"), (8, "n", "update", "a", '{"cut', {"p": 8}, at(12), "p"),
+        (10, "n", "create", "b", "{}", {"p": 1}, at(1), "p"), (11, "n", "update", "c", '{"x": 1}', {"p": 1}, at(1), "p"), (12, "n", "update", "a", '{"y": "q"}', {"r": 1}, at(4), "r"),
+    ]
+    want = {("a", "w"): ("0.5", 5), ("a", "x"): (None, 9), ("a", "y"): ("q", 12), ("a", "z"): ("[1, 2]", 9)}
+    for _ in range(2):  # delivered again in another order
+        got = {(r.entity_id, r.column): (r.value, r.sequence) for r in R.replay_columns(frame(spark, rows)).collect()}
+        assert got == want
+        rows = rows[::-1] + rows[:3]
+    assert R.replay_columns(frame(spark, [])).count() == 0
+
+
+def test_many_concurrent_changes():
+    """One entity with 100 000 changes that don't know of each other, and one that knows of all."""
+    import time
+
+    state, began = R.EntityState(), time.time()
+    n = 100_000
+    for i in range(n):
+        state.apply(({f"n{i}": 1}, i, i, f"n{i}", R.CREATE if i == 0 else R.UPDATE, None))
+    assert len(state.all.changes) == n and state.standing()[2] == n - 1
+    state.apply(({f"n{i}": 1 for i in range(n)} | {"last": 1}, 0, n, "last", R.UPDATE, None))
+    assert len(state.all.changes) == 1 and state.standing()[2] == n and time.time() - began < 30
