@@ -34,6 +34,17 @@ def influences(records: DataFrame, key: str, vector: str, attractors: DataFrame)
     return rows.select(key, "attractor", "similarity", (F.col("_s") * F.exp(-(1 - F.col("similarity")) / RADIUS) * F.col("_p") / 10).alias("influence"))
 
 
+def probability_field(records: DataFrame, key: str, vector: str, attractors: DataFrame, least: float = 0.05) -> DataFrame:
+    """(attractor, key, gradient): the records that each attractor reaches, cosine · strength above ``least``."""
+    near = influences(records, key, vector, attractors).join(F.broadcast(capped(attractors).select(F.col("id").alias("attractor"), "strength")), "attractor")
+    return near.withColumn("gradient", F.col("similarity") * F.col("strength")).where(F.col("gradient") > least).select("attractor", key, "gradient")
+
+
+def field_paths(transitions: DataFrame, least: float = 0.1) -> DataFrame:
+    """(attractor, path, probability, steps) of recorded transitions (source, target, attractor, influence) above ``least``."""
+    return transitions.where(F.col("influence") > least).select("attractor", F.array("source", "target").alias("path"), F.col("influence").alias("probability"), F.lit(1).alias("steps"))
+
+
 def dominant(found: DataFrame, key: str) -> DataFrame:
     """(key, attractor, influence): the largest positive influence, ties by attractor."""
     best = F.max(F.struct("influence", F.col("attractor")))
@@ -173,11 +184,9 @@ def goal_paths(edges: DataFrame, starts: DataFrame, vectors: DataFrame, goal: li
     """
     from memlattice.operators.graph import BOUND, neighbourhood
 
-    g = np.asarray(goal, "f8")
     n = neighbourhood(edges, starts, depth)
     v = vectors.select(F.col("id").alias("_id"), V.cosine("vec", F.array(*[F.lit(float(x)) for x in goal])).alias("_s"))
     n = n.join(v.select(F.col("_id").alias("source_id"), F.col("_s").alias("ss")), "source_id", "left").join(v.select(F.col("_id").alias("target_id"), F.col("_s").alias("ts")), "target_id", "left")
-    del g
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > BOUND:

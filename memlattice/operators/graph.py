@@ -9,7 +9,7 @@ import heapq
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlattice.operators.components import connected_components
@@ -128,26 +128,50 @@ def best_first(out: dict, start: str, depth: int) -> list[tuple[list[str], float
     return rows
 
 
-def random_walk(seed: int) -> Callable:
-    """A single walk, each step drawn in proportion to positive weights; the draw follows from seed, start and step."""
-    import zlib
-
-    def walk(out: dict, start: str, depth: int) -> list[tuple[list[str], float]]:
-        path, total = [start], 0.0
-        for step in range(depth):
-            options = [(t, w) for t, w in out.get(path[-1], ()) if w > 0]
-            if not options:
-                break
-            draw = (zlib.crc32(f"{seed}:{start}:{step}".encode()) + 0.5) / 2**32 * sum(w for _, w in options)
-            for t, w in options:
-                draw -= w
-                if draw <= 0:
-                    break
-            path.append(t)
-            total += w
-        return [(path, total)] if len(path) > 1 else []
-
-    return walk
+#: Slices of the unit range in which a record's edges are looked up by the draw.
+SLICES = 256
+
+
+def drawn(*parts) -> Column:
+    """A number in [0, 1) that follows from ``parts``: the same in every attempt."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("double") / 2.0**32
+
+
+def random_walks(edges: DataFrame, starts: DataFrame, steps: int, seed: int = 11) -> DataFrame:
+    """(start, path, total_weight): one walk from each start, each step drawn in proportion to positive weights.
+
+    Every record's edges (by falling weight, then target and id) get their part of the unit
+    range once; a step is a join by record and slice of that range, so a walk never gathers
+    a neighbourhood and walkers at a hub meet only the edges of their slice. A walk ends
+    where there is no positive edge; one without a step has no row.
+    """
+    w = Window.partitionBy("source_id").orderBy(F.desc("weight"), "target_id", "id")
+    e = edges.where("weight > 0").select("id", "source_id", "target_id", "weight")
+    e = e.withColumn("_high", F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("weight").over(Window.partitionBy("source_id")))
+    e = e.withColumn("_to", F.col("_high") / F.col("_all")).withColumn("_from", (F.col("_high") - F.col("weight")) / F.col("_all"))
+    slices = F.sequence(F.greatest(F.lit(0), F.floor((F.col("_from") - 1e-9) * SLICES)), F.least(F.lit(SLICES - 1), F.floor((F.col("_to") + 1e-9) * SLICES)))
+    e = materialize(e.select("source_id", "target_id", "weight", "_from", "_to", "_high", F.explode(slices).alias("_slice")), "ranges")
+    front = starts.select("start").distinct().select("start", F.col("start").alias("node"), F.array("start").alias("path"), F.lit(0.0).alias("total_weight"))
+    ended = []
+    for step in range(steps):
+        u = front.withColumn("_u", drawn(F.lit(str(seed)), "start", F.lit(str(step)))).withColumn("_slice", F.floor(F.col("_u") * SLICES))
+        found = u.join(e.withColumnRenamed("source_id", "node"), ["node", "_slice"]).where("_u >= _from - 1e-9 AND _u <= _to + 1e-9")
+        # at the border of two ranges the first one whose end lies above the draw
+        best = F.min_by(F.struct("target_id", "weight"), F.struct((F.col("_u") >= F.col("_to")).cast("int"), "_high", "target_id")).alias("x")
+        found = found.groupBy("start").agg(best, F.first("path").alias("path"), F.first("total_weight").alias("total_weight"))
+        moved = materialize(found.select("start", F.col("x.target_id").alias("node"), F.concat("path", F.array("x.target_id")).alias("path"), (F.col("total_weight") + F.col("x.weight")).alias("total_weight")), "walk")
+        ended.append(front.join(moved, "start", "left_anti"))
+        front = moved
+    out = front
+    for x in ended:
+        out = out.unionByName(x)
+    return out.where(F.size("path") > 1).select("start", "path", "total_weight")
+
+
+def between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The connection of each pair (source_id, target_id): its first edge of any type, by created_at and id."""
+    w = Window.partitionBy("source_id", "target_id").orderBy(F.asc_nulls_last("created_at"), "id")
+    return edges.join(pairs.select("source_id", "target_id").distinct(), ["source_id", "target_id"], "left_semi").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
 def components(records: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:

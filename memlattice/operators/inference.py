@@ -95,10 +95,19 @@ def validated(hypotheses: DataFrame, evidence: DataFrame) -> DataFrame:
     return hypotheses.join(s, "hypothesis_id", "left").withColumn("plausibility", F.when(F.coalesce("_t", F.lit(0.0)) == 0, F.col("plausibility")).otherwise(F.col("_s") / F.col("_t") * F.col("plausibility"))).drop("_s", "_t")
 
 
-def recommendations(found: DataFrame, k: int = 5) -> DataFrame:
-    """(id, inferred, kind, score, rank): of each record the forward top 3 and backward top 2 above 0.5 (times 0.9), best first."""
+def inference_stats(strengths: DataFrame, hypotheses: DataFrame) -> DataFrame:
+    """One row: causal relations and their mean strength, cached hypotheses."""
+    return strengths.agg(F.count("*").alias("causal_relations"), F.coalesce(F.avg("strength"), F.lit(0.0)).alias("average_strength")).join(hypotheses.agg(F.count("*").alias("cached_hypotheses")))
+
+
+def recommendations(found: DataFrame, k: int = 5, steps: DataFrame | None = None) -> DataFrame:
+    """(id, inferred, kind, score, rank): of each record the forward top 3 and backward top 2 above 0.5 (times 0.9),
+    and of ``steps`` (id, step) the next one on its path to a goal (0.8), best first."""
     w = Window.partitionBy("id", "direction").orderBy(F.desc("confidence"), "inferred")
     top = found.where("confidence > 0.5").withColumn("_r", F.row_number().over(w)).where("(direction = 'forward' AND _r <= 3) OR (direction = 'backward' AND _r <= 2)")
     top = top.withColumn("score", F.when(F.col("direction") == "forward", F.col("confidence")).otherwise(F.col("confidence") * 0.9))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "inferred", "direction"))
-    return top.select("id", "inferred", F.col("direction").alias("kind"), "score").withColumn("direction", F.col("kind")).withColumn("rank", rank).where(F.col("rank") <= k).drop("direction")
+    top = top.select("id", "inferred", F.col("direction").alias("kind"), "score")
+    if steps is not None:
+        top = top.unionByName(steps.select("id", F.col("step").alias("inferred"), F.lit("goal").alias("kind"), F.lit(0.8).alias("score")))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "inferred", "kind"))
+    return top.withColumn("rank", rank).where(F.col("rank") <= k)

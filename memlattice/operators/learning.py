@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from memlattice.functions import text as T
 from memlattice.functions.vectors import cosine
+from memlattice.session import materialize
 
 #: Extracts a pattern needs, least importance.
 INSTANCES, LEAST = 3, 0.3
@@ -25,19 +26,34 @@ def extracts(texts: DataFrame, key: str, text: str, accesses: Column | None = No
     return s.select(key, "position", "content", "category", "importance", T.keywords(F.col("content")).alias("keywords"))
 
 
-def document_frequency(texts: DataFrame, key: str, text: str) -> DataFrame:
+def term_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, n_tokens, terms array<(term, n)>) of each text, tokenised once; written, as frequencies and weights both read it."""
+    words = texts.where(F.col(text).isNotNull()).select(key, F.array_sort(T.tokens(F.col(text))).alias("_w"))
+    # in a sorted list each term's first place and the next term's give its count
+    starts = F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: (i == 1) | (F.get("_w", i - 1) != F.get("_w", i - 2)))
+    rows = words.withColumn("_s", F.when(F.size("_w") > 0, starts).otherwise(F.array().cast("array<int>")))
+    count = lambda s, i: F.coalesce(F.get("_s", i + 1), F.size("_w") + 1) - s
+    return materialize(rows.select(key, F.size("_w").alias("n_tokens"), F.transform("_s", lambda s, i: F.struct(F.get("_w", s - 1).alias("term"), count(s, i).alias("n"))).alias("terms")), "terms")
+
+
+def document_frequency(texts: DataFrame, key: str, text: str, counts: DataFrame | None = None) -> DataFrame:
     """(term, df, idf): documents with the term; idf = ln((N + 1) / (df + 1)) + 1, over all documents."""
-    n = texts.where(F.col(text).isNotNull()).count()
-    terms = texts.select(key, F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("term"))
+    counts = term_counts(texts, key, text) if counts is None else counts
+    n = counts.count()
+    terms = counts.select(F.explode("terms").alias("t")).select("t.term")
     return terms.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.ln((F.lit(n) + 1) / (F.col("df") + 1)) + 1)
 
 
-def tfidf(texts: DataFrame, key: str, text: str, frequencies: DataFrame) -> DataFrame:
-    """(key, term, tfidf): share of the text's tokens times idf; unseen terms have ln(100)."""
-    t = texts.select(key, F.explode(T.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("_n"))
-    total = texts.select(key, F.size(T.tokens(F.col(text))).alias("_all"))
-    j = t.join(total, key).join(frequencies.select("term", "idf"), "term", "left")
-    return j.select(key, "term", (F.col("_n") / F.col("_all") * F.coalesce("idf", F.lit(math.log(100)))).alias("tfidf"))
+def tfidf(texts: DataFrame, key: str, text: str, frequencies: DataFrame | None = None) -> DataFrame:
+    """(key, term, tfidf): share of the text's tokens times idf; unseen terms have ln(100).
+
+    Without ``frequencies`` those of the texts themselves count.
+    """
+    counts = term_counts(texts, key, text)
+    frequencies = document_frequency(texts, key, text, counts) if frequencies is None else frequencies
+    t = counts.select(key, "n_tokens", F.explode("terms").alias("t")).select(key, "t.term", (F.col("t.n") / F.col("n_tokens")).alias("_share"))
+    j = t.join(frequencies.select("term", "idf"), "term", "left")
+    return j.select(key, "term", (F.col("_share") * F.coalesce("idf", F.lit(math.log(100)))).alias("tfidf"))
 
 
 def pattern_confidence(importance: Column, n: Column, least: int = INSTANCES) -> Column:
@@ -76,14 +92,45 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(low(a), low(b))) / union)
 
 
+#: Jaccard similarity above which two processes are the same, and lengths that may differ.
+ALIKE, APART = 0.7, 2
+
+
 def same_process(runs: DataFrame, processes: DataFrame) -> DataFrame:
     """(run_id, process_id): for each run (run_id, task_type, steps) the most similar process of its task type:
-    lengths differ by 2 at most, Jaccard above 0.7; ties by process."""
-    j = runs.join(processes.select("process_id", F.col("task_type").alias("_t"), F.col("steps").alias("_s")), F.col("task_type") == F.col("_t"))
-    j = j.withColumn("_j", jaccard(F.col("steps"), F.col("_s"))).where((F.abs(F.size("steps") - F.size("_s")) <= 2) & (F.col("_j") > 0.7))
+    lengths differ by 2 at most, Jaccard above 0.7; ties by process.
+
+    Sets that alike share one of their first n - ceil(0.7 n) + 1 actions in any fixed
+    order, so runs meet only processes of their task type with such an action; those
+    without actions meet each other.
+    """
+    low = F.array_sort(F.array_distinct(F.transform("steps", F.lower)))
+    first = F.slice(low, F.lit(1), (F.size(low) - F.ceil(F.size(low) * F.lit(ALIKE)) + 1).cast("int"))
+    keyed = lambda d, name: d.select(name, "task_type", "steps", F.explode(F.when(F.size(low) > 0, first).otherwise(F.array(F.lit("")))).alias("_k"))
+    p = keyed(processes, "process_id").select("process_id", "task_type", F.col("steps").alias("_s"), "_k")
+    j = keyed(runs, "run_id").join(p, ["task_type", "_k"]).where(F.abs(F.size("steps") - F.size("_s")) <= APART)
+    j = j.withColumn("_j", jaccard(F.col("steps"), F.col("_s"))).where(F.col("_j") > ALIKE)
     return j.groupBy("run_id").agg(F.min_by("process_id", F.struct(-F.col("_j"), "process_id")).alias("process_id"))
 
 
+def learned_processes(processes: DataFrame, stats: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(processes, stats) after ``runs`` (run_id, task_type, steps, success, duration).
+
+    A run like a known process adds to its executions, success rate and mean duration;
+    any other is a new process, named after the first run of its task type and steps.
+    """
+    known = same_process(runs, processes)
+    steps = F.array_join(F.transform("steps", F.lower), ">")
+    named = runs.join(known, "run_id", "left").withColumn("process_id", F.coalesce("process_id", F.min("run_id").over(Window.partitionBy("task_type", steps)).cast("string")))
+    new = named.join(known.select("run_id"), "run_id", "left_anti").groupBy("process_id").agg(F.min("task_type").alias("task_type"), F.min_by("steps", "run_id").alias("steps"))
+    now = process_stats(named).select("process_id", F.col("executions").alias("_n"), F.col("success_rate").alias("_s"), F.col("avg_duration").alias("_d"))
+    j = stats.join(now, "process_id", "full")
+    n, m = F.coalesce("executions", F.lit(0)), F.coalesce("_n", F.lit(0))
+    mean = lambda a, b: (F.coalesce(a, F.lit(0.0)) * n + F.coalesce(b, F.lit(0.0)) * m) / (n + m)
+    after = j.select("process_id", (n + m).alias("executions"), mean("success_rate", "_s").alias("success_rate"), mean("avg_duration", "_d").alias("avg_duration"))
+    return processes.select("process_id", "task_type", "steps").unionByName(new), after
+
+
 def process_stats(outcomes: DataFrame) -> DataFrame:
     """(process_id, executions, success_rate, avg_duration): true means over all outcomes."""
     return outcomes.groupBy("process_id").agg(F.count("*").alias("executions"), F.avg(F.col("success").cast("double")).alias("success_rate"), F.avg("duration").alias("avg_duration"))

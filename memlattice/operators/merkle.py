@@ -2,38 +2,152 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlattice.functions.hashing import digest, pair_digest
 from memlattice.session import materialize
 
 
+#: Levels that one task builds of the leaves it gets: blocks of 1024.
+DEEP = 10
+
+
+def _subtrees(algorithm: str, kind: pa.DataType):
+    """Rows (tree, level, pos, hash, width) sorted by tree and position, whole blocks together: the levels above each block."""
+    digest_of = hashlib.sha3_256 if algorithm == "sha3" else hashlib.sha256
+
+    def grown(tree, level: int, first: int, width: int, hashes: list[str], out: list[tuple]) -> None:
+        while len(hashes) > 1:
+            hashes = [digest_of((a + b if a <= b else b + a).encode()).hexdigest() for a, b in zip(hashes[::2], hashes[1::2])]
+            level, first, width = level + 1, first >> 1, width >> 1
+            out.extend((tree, level, first + i, h, width) for i, h in enumerate(hashes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, hashes, out = None, [], []
+
+        def table() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * 5
+            out.clear()
+            kinds = [kind, pa.int32(), pa.int64(), pa.string(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["tree", "level", "pos", "hash", "width"])
+
+        for b in batches:
+            for tree, level, pos, hash, width in zip(*(c.to_pylist() for c in b.columns)):
+                now = tree, pos >> DEEP
+                if key is None or now != key[:2]:
+                    if key:
+                        grown(key[0], *key[2:], hashes, out)
+                    key, hashes = (*now, level, pos, width), []
+                hashes.append(hash)
+            yield table()
+        if key:
+            grown(key[0], *key[2:], hashes, out)
+        yield table()
+
+    return run
+
+
 def tree(leaves: DataFrame, tree: str, pos: str, hash: str, algorithm: str = "sha3") -> DataFrame:
     """(tree, level, pos, hash): level 0 holds the leaves, padded to a power of two by repeating the last one.
 
-    Each level pairs neighbours: grouped by (tree, pos / 2), two rows a group, so a tree
-    of any size spreads over all tasks; log2 of the largest tree passes, each half as
-    large. The parent hashes both texts, the smaller one first. Trees without leaves
-    have no rows; a single leaf is its root.
+    Blocks of 1024 nodes go to a task that builds ten levels above them, and the blocks'
+    tops again, so a tree of any size spreads over all tasks and most take one pass. The
+    parent hashes both texts, the smaller one first. Trees without leaves have no rows; a
+    single leaf is its root.
     """
     base = leaves.select(F.col(tree).alias("tree"), F.lit(0).alias("level"), F.col(pos).cast("long").alias("pos"), F.col(hash).alias("hash"))
     size = base.groupBy("tree").agg(F.count("*").alias("n"), F.max_by("hash", "pos").alias("last"))
-    width = F.pow(F.lit(2.0), F.ceil(F.log2("n"))).cast("long")
-    pad = size.where("n > 1").withColumn("w", width).where("w > n").select("tree", F.lit(0).alias("level"), F.explode(F.sequence(F.col("n"), F.col("w") - 1)).alias("pos"), F.col("last").alias("hash"))
-    level = materialize(base.unionByName(pad), "merkle")
-    out = [level]
-    largest = level.agg(F.max("pos")).first()[0] or 0
-    while largest > 0:
-        pair = level.groupBy("tree", F.shiftright("pos", 1).alias("_p")).agg(F.min_by("hash", "pos").alias("a"), F.max_by("hash", "pos").alias("b"), F.count("*").alias("_n"), F.max("level").alias("_l"))
-        pair = pair.where("_n = 2")
-        level = materialize(pair.select("tree", (F.col("_l") + 1).cast("int").alias("level"), F.col("_p").alias("pos"), pair_digest(F.col("a"), F.col("b"), algorithm).alias("hash")), "merkle")
-        out.append(level)
-        largest >>= 1
-    nodes = out[0]
-    for x in out[1:]:
+    size = size.withColumn("width", F.pow(F.lit(2.0), F.ceil(F.log2("n"))).cast("long"))
+    pad = size.where("width > n").select("tree", F.lit(0).alias("level"), F.explode(F.sequence(F.col("n"), F.col("width") - 1)).alias("pos"), F.col("last").alias("hash"), "width")
+    level = materialize(base.join(size.select("tree", "width"), "tree").unionByName(pad), "merkle")
+    widest = level.agg(F.max("width")).first()[0] or 0
+    kind = level.select("tree").limit(0).toArrow().schema.field("tree").type
+    shape = f"tree {dict(level.dtypes)['tree']}, level int, pos long, hash string, width long"
+    parts, front, at = [level], level, 0
+    while widest > 1:
+        block = F.shiftright("pos", DEEP)
+        rows = front.where("width > 1").select("tree", "level", "pos", "hash", "width").repartition(F.col("tree"), block).sortWithinPartitions("tree", "pos")
+        parts.append(materialize(rows.mapInArrow(_subtrees(algorithm, kind), shape), "merkle"))
+        at, widest = at + DEEP, widest >> DEEP
+        front = parts[-1].where(F.col("level") == at)
+    nodes = parts[0]
+    for x in parts[1:]:
         nodes = nodes.unionByName(x)
-    return nodes
+    return nodes.select("tree", "level", "pos", "hash")
+
+
+def edited(leaves: DataFrame, updates: DataFrame, added: DataFrame) -> DataFrame:
+    """Leaves (tree, pos, hash) after ``updates`` (tree, pos, hash) of positions that exist and ``added`` (tree, n, hash)
+    ones, put behind the last in the order of ``n``; an update of a position that isn't there raises an error."""
+    lost = updates.join(leaves, ["tree", "pos"], "left_anti").limit(1).count()
+    if lost:
+        raise ValueError("an update names a leaf that isn't there")
+    new = updates.select("tree", F.col("pos").cast("long").alias("pos"), F.col("hash").alias("_new"))
+    kept = leaves.select("tree", F.col("pos").cast("long").alias("pos"), "hash").join(new, ["tree", "pos"], "left").select("tree", "pos", F.coalesce("_new", "hash").alias("hash"))
+    last = leaves.groupBy("tree").agg((F.max("pos") + 1).alias("_n"))
+    place = F.row_number().over(Window.partitionBy("tree").orderBy("n")) - 1
+    more = added.withColumn("_i", place).join(last, "tree", "left").select("tree", (F.coalesce("_n", F.lit(0)) + F.col("_i")).cast("long").alias("pos"), "hash")
+    return kept.unionByName(more)
+
+
+def retree(nodes: DataFrame, old: DataFrame, new: DataFrame, algorithm: str = "sha3") -> DataFrame:
+    """``nodes`` of the leaves ``old`` for the leaves ``new`` (tree, pos, hash): only trees with another leaf are built again."""
+    touched = materialize(diff(old, new).select("tree").distinct(), "touched")
+    again = tree(new.join(touched, "tree", "left_semi"), "tree", "pos", "hash", algorithm)
+    return nodes.join(touched, "tree", "left_anti").unionByName(again)
+
+
+def equal_trees(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(tree, equal): whether both node tables have the same root; a tree that one of them lacks isn't equal."""
+    x, y = (roots(n).select("tree", F.col("root").alias(c)) for n, c in ((a, "_a"), (b, "_b")))
+    return x.join(y, "tree", "full").select("tree", F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)).alias("equal"))
+
+
+def is_power_of_two(n: Column) -> Column:
+    return (n > 0) & (n.bitwiseAND(n - 1) == 0)
+
+
+def batch_valid(leaves: DataFrame, siblings: DataFrame, claimed: DataFrame, algorithm: str = "sha3") -> DataFrame:
+    """(tree, valid): whether the ``leaves`` (tree, pos, hash) with their shared ``siblings`` (tree, level, pos, hash)
+    give the ``claimed`` (tree, root, height).
+
+    A tree's proof is folded level by level in one task; it holds its leaves and their
+    siblings, not the tree. A sibling that contradicts what the leaves give makes the proof
+    invalid, as does a node without its neighbour; without leaves nothing is proved.
+    """
+    digest_of = hashlib.sha3_256 if algorithm == "sha3" else hashlib.sha256
+    kind = dict(claimed.dtypes)["tree"]
+
+    def fold(key: tuple, proof: pd.DataFrame, top: pd.DataFrame) -> pd.DataFrame:
+        if not len(top):
+            return pd.DataFrame({"tree": [], "valid": []})
+        height, root = int(top.height.iloc[0]), top.root.iloc[0]
+        given: dict[int, dict[int, str]] = {}
+        for level, pos, hash in zip(proof.level, proof.pos, proof.hash):
+            if level >= 0:
+                given.setdefault(int(level), {})[int(pos)] = hash
+        known, ok = {int(p): h for level, p, h in zip(proof.level, proof.pos, proof.hash) if level < 0}, True
+        ok = bool(known)
+        for level in range(height):
+            both = {**given.get(level, {}), **known}
+            ok = ok and all(known.get(p, h) == h for p, h in given.get(level, {}).items()) and all(p ^ 1 in both for p in known)
+            if not ok:
+                break
+            up = {}
+            for p in known:
+                a, b = sorted((both[p], both[p ^ 1]))
+                up[p >> 1] = digest_of((a + b).encode()).hexdigest()
+            known = up
+        return pd.DataFrame({"tree": [key[0]], "valid": [ok and known == {0: root}]})
+
+    proof = leaves.select("tree", F.lit(-1).alias("level"), F.col("pos").cast("long").alias("pos"), "hash").unionByName(siblings.select("tree", F.col("level").cast("int").alias("level"), "pos", "hash"))
+    return proof.groupBy("tree").cogroup(claimed.select("tree", "root", "height").groupBy("tree")).applyInPandas(fold, f"tree {kind}, valid boolean")
 
 
 def roots(nodes: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("data_problems", "vectors", "texts", "graphs", "logs", "records", "streams", "cycles")
+_MODULES = ("data_problems", "vectors", "texts", "graphs", "logs", "records", "streams", "cycles", "memory")
 
 
 def collect() -> tuple[dict, dict]:

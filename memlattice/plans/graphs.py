@@ -101,7 +101,7 @@ def weighted_paths(spark, d):
 def random_walks(spark, d):
     """G7 from every record with edges, three steps."""
     s = _edges(spark, d).select(F.col("source_id").alias("start")).distinct()
-    return graph.ordered_paths(_edges(spark, d), s, 3, graph.random_walk(11))
+    return graph.random_walks(_edges(spark, d), s, 3, 11).select("start", F.array_join("path", ">").alias("path"), F.round("total_weight", 6).alias("total_weight"))
 
 
 def _active(spark, d):
@@ -325,6 +325,17 @@ SQL = {
     + """, o AS (SELECT *, row_number() OVER (PARTITION BY source_id, target_id ORDER BY created_at DESC, weight DESC) AS k, count(*) OVER (PARTITION BY source_id, target_id) AS n
           FROM e WHERE created_at IS NOT NULL)
       SELECT source_id AS cause, target_id AS effect, round(sum(weight * 0.5::DOUBLE ** least(k, n - 1)), 6) AS strength, count(*) AS n FROM o GROUP BY 1, 2""",
+    "random_walks": _E
+    + """, p AS (
+        SELECT source_id, target_id, id, weight, sum(weight) OVER (PARTITION BY source_id ORDER BY weight DESC, target_id, id ROWS UNBOUNDED PRECEDING) / sum(weight) OVER (PARTITION BY source_id) AS upto,
+               row_number() OVER (PARTITION BY source_id ORDER BY weight DESC, target_id, id) AS i FROM e WHERE weight > 0),
+      w AS (
+        SELECT DISTINCT source_id AS start, source_id AS node, source_id AS path, 0::DOUBLE AS total, 0 AS step FROM e
+        UNION ALL
+        SELECT start, x.target_id, path || '>' || x.target_id, total + x.weight, step + 1 FROM (
+          SELECT w.*, ('0x' || substr(md5('11:' || start || ':' || step), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM w WHERE step < 3) v
+        JOIN p x ON x.source_id = v.node AND x.i = (SELECT min(i) FROM p y WHERE y.source_id = v.node AND v.u < y.upto))
+      SELECT start, path, round(total, 6) AS total_weight FROM w QUALIFY step > 0 AND row_number() OVER (PARTITION BY start ORDER BY step DESC) = 1""",
     "outcome_edges": _E
     + """, h AS (SELECT source_id, target_id, count(*) AS n FROM e WHERE activation_count > 5 GROUP BY 1, 2),
       x AS (SELECT source_id, target_id, arg_min(edge_type, id) AS t, arg_min(weight, id) AS w FROM e WHERE edge_type <> 'SEMANTIC' GROUP BY 1, 2)

@@ -113,8 +113,8 @@ def test_graph(spark):
     assert {r.node: r.component for r in graph.components(ids, e).collect()} == {**dict.fromkeys("abcde", "a"), "x": "x", "lone": "lone"}
     paths = {tuple(r.path) for r in graph.ordered_paths(e, s, 3, graph.depth_first).collect()}
     assert ("a", "c", "d") in paths or ("a", "b", "e") in paths
-    walk = graph.ordered_paths(e, s, 4, graph.random_walk(1)).collect()
-    assert walk == graph.ordered_paths(e, s, 4, graph.random_walk(1)).collect() and walk[0].path[0] == "a"
+    walk = graph.random_walks(e, s, 4, 1).collect()
+    assert walk == graph.random_walks(e, s, 4, 1).collect() and walk[0].path[0] == "a"
     f = {(r.id, r.inferred): r.confidence for r in inference.forward(e).collect()}
     assert f[("a", "b")] == 1.0 and ("a", "c") not in f and f[("b", "c")] == 0.5
     assert {(r.id, r.inferred) for r in inference.two_hop(e).collect()} >= {("d", "b")}
