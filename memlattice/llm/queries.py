@@ -155,7 +155,41 @@ scored AS (
   FROM pair JOIN single x ON x.tag = tag_a JOIN single y ON y.tag = tag_b, total WHERE n_ab >= 5)
 """
 
+_USABLE = f"""
+r AS (
+  SELECT id, embedding::DOUBLE[] AS v FROM (
+    SELECT {key('id')} AS id, deleted_at, embedding FROM neurons WHERE id IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY {key('id')} ORDER BY updated_at DESC NULLS LAST, deleted_at DESC NULLS LAST) = 1)
+  WHERE deleted_at IS NULL AND len(embedding) = 384 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+cos AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c FROM r a JOIN r b ON a.id < b.id)
+"""
+#: Every pair of usable neurons and of chunks, by brute force.
+_P4 = "WITH RECURSIVE " + _USABLE.strip() + """,
+link AS (SELECT a, b FROM cos WHERE c >= 0.5 UNION ALL SELECT b, a FROM cos WHERE c >= 0.5),
+lab AS (
+  SELECT id, id AS label, 0 AS i FROM r
+  UNION ALL
+  SELECT id, min(label), i + 1 FROM (SELECT lab.id, lab.label, lab.i FROM lab UNION ALL SELECT link.a, lab.label, lab.i FROM lab JOIN link ON link.b = lab.id) WHERE i < 12 GROUP BY id, i),
+member AS (SELECT id, label FROM lab WHERE i = 12)
+"""
+
 SQL: dict[str, str] = {
+    "p4_found": _P4 + "SELECT label AS cluster_id, id AS neuron_id FROM member WHERE label IN (SELECT label FROM member GROUP BY 1 HAVING count(*) >= 3)",
+    "p6_found": "WITH " + _USABLE.strip() + f""",
+t AS (
+  SELECT DISTINCT ON (hash) {key('hash')} AS hash, trim(regexp_replace(lower(TRY(decode(chunk_data))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ') AS t
+  FROM chunks WHERE hash IS NOT NULL AND TRY(decode(chunk_data)) IS NOT NULL),
+piece AS (SELECT DISTINCT hash, substr(t, i::INTEGER, 8) AS p FROM (SELECT hash, t, unnest(range(1, length(t) - 6)) AS i FROM t WHERE length(t) >= 8)),
+n AS (SELECT hash, count(*) AS n FROM piece GROUP BY 1),
+shared AS (SELECT a.hash AS a, b.hash AS b, count(*) AS k FROM piece a JOIN piece b ON a.p = b.p AND a.hash < b.hash GROUP BY 1, 2)
+SELECT 'embedding' AS kind, a AS key_a, b AS key_b FROM cos WHERE c >= 0.95
+UNION ALL SELECT 'chunk', a, b FROM shared JOIN n x ON x.hash = a JOIN n y ON y.hash = b WHERE k >= 0.7 * (x.n + y.n - k) - 1e-9""",
+    "p7_found": "WITH " + _USABLE.strip() + """,
+rank AS (
+  SELECT a, b FROM (SELECT a, b, c FROM cos UNION ALL SELECT b, a, c FROM cos) WHERE round(c, 6) >= 0.5
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(c, 6) DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS neuron_a, greatest(a, b) AS neuron_b FROM rank""",
+
     "p1_found": f"""
 WITH o AS (SELECT {key('profile')} AS p, max(chunk_size) AS s FROM chunk_options GROUP BY 1)
 SELECT DISTINCT {key('owner_id')} AS owner_id, idx FROM chunks c LEFT JOIN o ON o.p = {key('c.profile')}
