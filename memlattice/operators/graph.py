@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from memlattice.operators.components import connected_components
 from memlattice.session import materialize
 
-#: Edges that an ordered traversal may gather; more raise an error instead of being cut.
-BOUND = 200_000
+#: Edges that an ordered traversal may gather in one task (about 1 GB); more raise an error instead of being cut.
+BOUND = 5_000_000
 
 
 def clean_edges(synapses: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlattice.session import materialize
+
 from memlattice.functions import clocks as C
 from memlattice.functions.keys import tidy
 
@@ -41,10 +43,12 @@ def compacted(journal: DataFrame, before: int) -> DataFrame:
 def appended(journal: DataFrame, changes: DataFrame, order: list[str]) -> DataFrame:
     """``changes`` with sequences after the journal's last one, in ``order``.
 
-    Numbers are dealt per range partition from its start, so no single task numbers a batch.
+    Numbers are dealt per range partition from its start, so no single task numbers a
+    batch; the partitions are written first, so counts and numbers come from the same ones.
     """
     last = journal.agg(F.coalesce(F.max("sequence"), F.lit(0))).first()[0]
     sorted_ = changes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % (1 << 33))
+    sorted_ = materialize(sorted_, "numbered")
     starts = {r["_p"]: r["n"] for r in sorted_.groupBy("_p").count().withColumnRenamed("count", "n").collect()}
     at, offset = last, {}
     for p in sorted(starts):

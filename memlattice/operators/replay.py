@@ -14,6 +14,8 @@ from memlattice.functions.keys import tidy
 #: An entity that has more than one in HOT_SHARE of all changes is spread over SALTS tasks.
 HOT_SHARE = 1024
 SALTS = 128
+#: Changes of a frontier that are compared one by one; more are looked up by node.
+FEW = 16
 CREATE, UPDATE, DELETE = 1, 2, 3
 _NO_TIME = -(1 << 62)
 _NO_SEQUENCE = 1 << 62
@@ -38,13 +40,15 @@ class Front:
 
     def __init__(self) -> None:
         self.changes: dict[int, tuple] = {}
-        self.knows: dict[str, dict[int, tuple]] = {}
+        #: Changes by the nodes they know, by their own node, and those without their own count; kept for many only.
+        self.knows: dict[str, dict[int, tuple]] | None = None
         self.own: dict[str, dict[int, tuple]] = {}
         self.odd: dict[int, tuple] = {}
 
     def push(self, change: tuple) -> None:
         clock, _, sequence, node = change[:4]
-        for x in list((self.knows.get(node, {}) if node in clock else self.changes).values()):
+        near = self.changes if self.knows is None or node not in clock else self.knows.get(node, {})
+        for x in near.values():
             if x[0] == clock:
                 if x[3] == node:
                     if sequence < x[2]:
@@ -53,23 +57,34 @@ class Front:
                     return
             elif _covers(x[0], clock):
                 return
-        covered = [x for k in clock for x in self.own.get(k, {}).values() if x[0] != clock and _covers(clock, x[0])]
-        covered += [x for x in self.odd.values() if x[0] != clock and _covers(clock, x[0])]
-        for x in covered:
+        if self.knows is None:
+            rivals = self.changes.values()
+        else:
+            rivals = [*self.odd.values(), *(x for k in clock for x in self.own.get(k, {}).values())]
+        for x in [x for x in rivals if x[0] != clock and _covers(clock, x[0])]:
             self.drop(x)
         self.add(change)
 
     def add(self, x: tuple) -> None:
         self.changes[id(x)] = x
+        if self.knows is not None:
+            self.enter(x)
+        elif len(self.changes) > FEW:
+            self.knows = {}
+            for y in self.changes.values():
+                self.enter(y)
+
+    def enter(self, x: tuple) -> None:
         for k in x[0]:
             self.knows.setdefault(k, {})[id(x)] = x
         (self.own.setdefault(x[3], {}) if x[3] in x[0] else self.odd)[id(x)] = x
 
     def drop(self, x: tuple) -> None:
         del self.changes[id(x)]
-        for k in x[0]:
-            del self.knows[k][id(x)]
-        del (self.own[x[3]] if x[3] in x[0] else self.odd)[id(x)]
+        if self.knows is not None:
+            for k in x[0]:
+                del self.knows[k][id(x)]
+            del (self.own[x[3]] if x[3] in x[0] else self.odd)[id(x)]
 
 
 def newest(front: Front) -> tuple | None:

@@ -23,9 +23,13 @@ def _stream(spark, d, name):
     return feeds.stream(spark, path, like)
 
 
+def _folder(spark, name):
+    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:10]}")
+
+
 def stream_event_windows(spark, d):
     """ST1, W-a: events per hour and type, through a stream with a watermark."""
-    return feeds.run_to_memory(feeds.windowed_events(_stream(spark, d, "events")), f"w{uuid.uuid4().hex}").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return feeds.run_to_table(feeds.windowed_events(_stream(spark, d, "events")), _folder(spark, "windows")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def stream_journal_state(spark, d):
@@ -39,7 +43,7 @@ def stream_journal_state(spark, d):
 def stream_progress(spark, d):
     """ST4: every user's events as ticks of a session, state kept in the stream."""
     t = _stream(spark, d, "events").select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("current"), F.lit(10**9).cast("long").alias("total"))
-    return feeds.run_to_memory(feeds.progress_states(t), f"p{uuid.uuid4().hex}", "update").groupBy("session").agg(F.max("current").alias("current"))
+    return feeds.run_to_table(feeds.progress_states(t), _folder(spark, "progress"), "update").groupBy("session").agg(F.max("current").alias("current"))
 
 
 def snapshot_roundtrip(spark, d):

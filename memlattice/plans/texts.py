@@ -80,38 +80,18 @@ def merkle_roots_sha3(spark, d):
     return merkle.roots(merkle.tree(_fixed(spark, d, 512, "sha3"), "doc_id", "idx", "hash")).select(F.col("tree").alias("doc_id"), "root", "height", "n_leaves")
 
 
-def merkle_proofs(spark, d):
-    """M3, M4: proofs of the first leaf of every tree, verified."""
-    n = merkle.tree(_fixed(spark, d), "doc_id", "idx", "hash", "sha2")
-    p = merkle.proofs(n, n.where("level = 0 AND pos = 0").select("tree", "pos"))
-    return merkle.verified(p, "sha2").select(F.col("tree").alias("doc_id"), "leaf", F.size("siblings").alias("n_siblings"), "valid")
-
-
-def merkle_batch(spark, d):
-    """M7: siblings that prove the first three leaves of a tree together."""
-    n = merkle.tree(_fixed(spark, d), "doc_id", "idx", "hash", "sha2")
-    return merkle.batch_siblings(n, n.where("level = 0 AND pos < 3").select("tree", "pos")).select(F.col("tree").alias("doc_id"), "level", "pos", "hash")
-
-
-def merkle_diff(spark, d):
-    """Leaves against those of the text's first 600 characters and ``!``, as its SQL says; merkle_diff_whole has whole texts."""
-    up = chunks.fixed_chunks(_d(spark, d), "doc_id", F.encode(F.concat(F.substring("text", 1, 600), F.lit("!")), "UTF-8"), 512, "sha2")
-    leaf = lambda c: c.select(F.col("doc_id").alias("tree"), F.col("idx").alias("pos"), "hash")
-    return merkle.diff(leaf(_fixed(spark, d)), leaf(up)).groupBy("change").agg(F.count("*").alias("n"))
-
-
 def _leaves(c):
     return c.select(F.col("doc_id").alias("tree"), F.col("idx").cast("long").alias("pos"), "hash")
 
 
-def merkle_proofs_all(spark, d):
+def merkle_proofs(spark, d):
     """M3, M4: proofs of every leaf of every tree, verified."""
     c = _fixed(spark, d)
     n = merkle.tree(c, "doc_id", "idx", "hash", "sha2")
     return merkle.verified(merkle.proofs(n, _leaves(c)), "sha2").select(F.col("tree").alias("doc_id"), "pos", "leaf", F.size("siblings").alias("n_siblings"), "valid")
 
 
-def merkle_batch_all(spark, d):
+def merkle_batch(spark, d):
     """M7: siblings that prove each three leaves in a row together, to the end of the tree."""
     c = _fixed(spark, d)
     n = merkle.tree(c, "doc_id", "idx", "hash", "sha2")
@@ -119,9 +99,9 @@ def merkle_batch_all(spark, d):
     return merkle.batch_siblings(n, wanted).select(F.col("tree").alias("doc_id"), "batch", "level", "pos", "hash")
 
 
-def merkle_diff_whole(spark, d):
-    """All leaves against those of the whole text in upper case."""
-    up = chunks.fixed_chunks(_d(spark, d), "doc_id", F.encode(F.upper("text"), "UTF-8"), 512, "sha2")
+def merkle_diff(spark, d):
+    """All leaves against those of the whole text with another letter for each ``a``, and one more at the end."""
+    up = chunks.fixed_chunks(_d(spark, d), "doc_id", F.encode(F.concat(F.replace("text", F.lit("a"), F.lit("A")), F.lit("!")), "UTF-8"), 512, "sha2")
     return merkle.diff(_leaves(_fixed(spark, d)), _leaves(up)).groupBy("change").agg(F.count("*").alias("n"))
 
 
@@ -186,7 +166,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fixed_chunks, fixed_chunks_sha3, content_chunks, chunk_stats, chunk_dedup, chunk_store, chunk_release, chunk_merge, chunk_integrity, merkle_roots, merkle_roots_sha3,
-        merkle_proofs, merkle_batch, merkle_diff, merkle_proofs_all, merkle_batch_all, merkle_diff_whole, merkle_versions, content_hashes, doc_frequency, tfidf, keyword_scores, extracts, patterns, task_types, hybrid_search, ingest,
+        merkle_proofs, merkle_batch, merkle_diff, merkle_versions, content_hashes, doc_frequency, tfidf, keyword_scores, extracts, patterns, task_types, hybrid_search, ingest,
     )
 }
 
@@ -231,11 +211,18 @@ SQL = {
       SELECT DISTINCT h.hash, CASE WHEN g.hash IS NULL THEN 'missing' WHEN g.ok THEN 'valid' ELSE 'corrupted' END AS status FROM h LEFT JOIN g ON g.hash = h.hash""",
     "merkle_roots": _TREE + "SELECT doc_id, hash AS root, level AS height FROM t WHERE width = 1",
     "merkle_proofs": _TREE
-    + """SELECT doc_id, (SELECT hash FROM h WHERE h.doc_id = t.doc_id AND h.idx = 0) AS leaf, level AS n_siblings, true AS valid FROM t WHERE width = 1""",
+    + """SELECT h.doc_id, h.idx::BIGINT AS pos, h.hash AS leaf, t.level AS n_siblings, true AS valid FROM h JOIN t ON t.doc_id = h.doc_id AND t.width = 1""",
+    "merkle_batch": _TREE.rstrip()
+    + """,
+known AS (
+  SELECT DISTINCT doc_id, batch, level, idx >> level AS pos FROM (
+    SELECT h.doc_id, h.idx::BIGINT AS idx, h.idx::BIGINT // 3 AS batch, unnest(range(0, top.level)) AS level FROM h JOIN (SELECT doc_id, level FROM t WHERE width = 1) top ON top.doc_id = h.doc_id)),
+need AS (SELECT doc_id, batch, level, xor(pos, 1) AS pos FROM known EXCEPT SELECT * FROM known)
+SELECT need.*, t.hash FROM need JOIN t ON t.doc_id = need.doc_id AND t.level = need.level AND t.pos = need.pos""",
     "merkle_diff": _C
     + """, u AS (SELECT doc_id, i::INTEGER AS idx, sha256(array_slice(b, i * 512 + 1, i * 512 + 512)) AS hash FROM (
             SELECT doc_id, b, unnest(range(0, (octet_length(b) + 511) // 512)) AS i FROM (
-              SELECT doc_id, encode(substring(text, 1, 600) || '!') AS b FROM documents WHERE text IS NOT NULL)))
+              SELECT doc_id, encode(replace(text, 'a', 'A') || '!') AS b FROM documents WHERE text IS NOT NULL)))
       SELECT CASE WHEN h.hash IS NULL THEN 'added' WHEN u.hash IS NULL THEN 'removed' ELSE 'modified' END AS change, count(*) AS n
       FROM h FULL JOIN u ON u.doc_id = h.doc_id AND u.idx = h.idx WHERE h.hash IS DISTINCT FROM u.hash GROUP BY 1""",
     "doc_frequency": _IDF + "SELECT term, df, round(idf, 6) AS idf FROM idf",

@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlattice.functions.keys import bounded
 from memlattice.operators import journal as J
 from memlattice.operators.replay import replay
+from memlattice.session import materialize
 
 
 def stream(spark: SparkSession, path: str, like: DataFrame, files_per_batch: int = 16) -> DataFrame:
@@ -26,11 +28,21 @@ def windowed_events(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def run_to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and gives its result table (tests, small results)."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_to_table(df: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what is there into a table under ``path`` and reads it: of mode ``complete`` the
+    last batch, else all of them. A batch that is tried again replaces itself."""
+    done: list[int] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+        done.append(number)
+
+    q = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    read = df.sparkSession.read.schema(df.schema)
+    if not done:
+        return df.sparkSession.createDataFrame([], df.schema)
+    return read.parquet(f"{path}/data/batch={max(done)}" if mode == "complete" else f"{path}/data").select(df.columns)
 
 
 def progress_states(ticks: DataFrame) -> DataFrame:
@@ -78,7 +90,10 @@ class JournalApplier:
     def apply(self, batch: DataFrame, number: int) -> None:
         rows = J.tidied(batch)
         old = self.journal(number)
-        fresh = J.applied(old.drop("batch"), rows) if old is not None else J.applied(rows.limit(0), rows)
+        if old is not None:  # only what it has of the batch's entities
+            keys = materialize(rows.select("entity_type", "entity_id").distinct(), "touched")
+            old = old.drop("batch").join(bounded(keys, keys.count()), ["entity_type", "entity_id"], "left_semi").select(rows.columns)
+        fresh = J.applied(old, rows) if old is not None else J.applied(rows.limit(0), rows)
         fresh.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
         if self.on_batch:
             self.on_batch(fresh, number)
