@@ -263,6 +263,17 @@ _SESSIONS = """, r AS (
   FROM items WHERE source_type IS NOT NULL)
 """
 
+
+
+def _level(h: int) -> str:
+    """SQL: the nodes that hop ``h`` reaches first, each from the parent of the best total weight."""
+    return f""",
+l{h} AS (
+  SELECT start, target_id AS node, max({{'w': b.w + e.weight, 'p': e.source_id}}) AS x FROM s{h - 1} b JOIN e ON e.source_id = b.node
+  WHERE b.hops = {h - 1} AND NOT EXISTS (SELECT 1 FROM s{h - 1} y WHERE y.start = b.start AND y.node = e.target_id) GROUP BY 1, 2),
+s{h} AS (SELECT * FROM s{h - 1} UNION ALL SELECT start, node, {h}, x.p, x.w FROM l{h})"""
+
+
 SQL = {
     "edge_table": _E + "SELECT id, source_id, target_id, edge_type, weight, activation_count, bidirectional FROM e",
     "node_degrees": _E
@@ -325,6 +336,12 @@ SQL = {
     + """, o AS (SELECT *, row_number() OVER (PARTITION BY source_id, target_id ORDER BY created_at DESC, weight DESC) AS k, count(*) OVER (PARTITION BY source_id, target_id) AS n
           FROM e WHERE created_at IS NOT NULL)
       SELECT source_id AS cause, target_id AS effect, round(sum(weight * 0.5::DOUBLE ** least(k, n - 1)), 6) AS strength, count(*) AS n FROM o GROUP BY 1, 2""",
+    "bfs_trees": _E.rstrip()
+    + ",\ns0 AS (SELECT start, start AS node, 0 AS hops, NULL::VARCHAR AS parent, 0::DOUBLE AS w FROM starts)"
+    + _level(1)
+    + _level(2)
+    + _level(3)
+    + " SELECT start, node, hops, parent, round(w, 6) AS total_weight FROM s3",
     "random_walks": _E
     + """, p AS (
         SELECT source_id, target_id, id, weight, sum(weight) OVER (PARTITION BY source_id ORDER BY weight DESC, target_id, id ROWS UNBOUNDED PRECEDING) / sum(weight) OVER (PARTITION BY source_id) AS upto,

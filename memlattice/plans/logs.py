@@ -197,6 +197,20 @@ conf AS (
 """
 
 SQL = {
+    "dopamine": """
+WITH s AS (SELECT user_id, list(CASE WHEN value > 80 THEN 20.0::DOUBLE WHEN value < 20 THEN 30 ELSE 10 END ORDER BY ts, CASE WHEN value > 80 THEN 'good' WHEN value < 20 THEN 'bad' ELSE 'search' END) AS k, count(*) AS n
+           FROM events GROUP BY 1)
+SELECT user_id, round(list_reduce(list_concat([0.5::DOUBLE], k), lambda x, e: CASE e WHEN 10 THEN least(1, greatest(0.1::DOUBLE, x * 0.9::DOUBLE))
+    WHEN 20 THEN least(1, greatest(0.1::DOUBLE, x + 0.3::DOUBLE)) ELSE least(1, greatest(0.1::DOUBLE, x - 0.15::DOUBLE)) END), 6) AS level, n FROM s""",
+    "progress": """
+WITH t AS (
+  SELECT user_id, event_id, ts, row_number() OVER w AS current, count(*) OVER (PARTITION BY user_id) AS total, epoch_us(ts) / 1e6 AS sec, lag(epoch_us(ts) / 1e6) OVER w AS before,
+         first_value(epoch_us(ts) / 1e6) OVER w AS began FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, CASE WHEN before IS NOT NULL THEN 1 / greatest(0.001::DOUBLE, sec - before) END AS rate FROM t),
+l AS (SELECT *, list_filter(list(rate) OVER (PARTITION BY user_id ORDER BY ts, current ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), lambda x: x IS NOT NULL) AS rates FROM r),
+m AS (SELECT *, CASE WHEN len(rates) > 0 THEN list_sum(list_transform(rates, lambda x, i: x * 2.0 ** (i - 1))) / list_sum(list_transform(rates, lambda x, i: 2.0 ** (i - 1))) END AS mean FROM l)
+SELECT user_id, event_id, round(least(100.0::DOUBLE, current / total * 100), 6) AS percent, round(CASE WHEN sec > began THEN current / (sec - began) ELSE 0 END, 9) AS throughput,
+       round(CASE WHEN mean > 0 THEN greatest(0, total - current) / mean END, 3) AS eta_seconds FROM m""",
     "journal_stats": _J + "SELECT entity_type, operation, count(*) AS n, min(sequence) AS first_sequence, max(sequence) AS last_sequence FROM j GROUP BY GROUPING SETS ((entity_type), (operation), ())",
     "journal_range": "SELECT sequence, entity_id, payload FROM journal WHERE sequence BETWEEN 100 AND 2000 AND entity_type = 'neuron'",
     "journal_compact": _J + "SELECT entity_type, count(*) AS n, min(sequence) AS first_sequence FROM j WHERE sequence >= 1000 GROUP BY 1",

@@ -179,6 +179,25 @@ n AS (SELECT DISTINCT {key('id')} AS id, updated_at, created_at, deleted_at, mer
 """
 
 SQL = {
+    "context": _I
+    + """, i AS (SELECT id, created_at, access_count, array_to_string(tags, ' ') AS text FROM items),
+a AS (SELECT * FROM i ORDER BY access_count DESC NULLS LAST, id LIMIT 5), b AS (SELECT * FROM i ORDER BY created_at DESC NULLS LAST, id LIMIT 20),
+u AS (SELECT * FROM a UNION SELECT * FROM b),
+o AS (SELECT *, row_number() OVER (ORDER BY id NOT IN (SELECT id FROM a), created_at DESC NULLS LAST, id) AS position FROM u)
+SELECT position::INTEGER AS position, id, CASE WHEN length(text) > 220 THEN substr(text, 1, 220) || '…' ELSE text END AS preview FROM o WHERE position <= 20""",
+    "process_match": _I
+    + """, s AS (SELECT id, source_type, tags FROM items WHERE len(tags) >= 3 AND source_type IS NOT NULL),
+p AS (SELECT source_type, tags, min(id) AS process_id FROM s GROUP BY 1, 2),
+j AS (
+  SELECT s.id AS run_id, process_id, len(list_intersect(s.tags, p.tags))::DOUBLE / len(list_distinct(list_concat(s.tags, p.tags))) AS j
+  FROM s JOIN p ON p.source_type = s.source_type AND abs(len(s.tags) - len(p.tags)) <= 2)
+SELECT run_id, arg_min(process_id, (-j, process_id)) AS process_id FROM j WHERE j > 0.7 GROUP BY 1""",
+    "tag_merge": _I
+    + f""", cur AS (SELECT {key('id')} AS id, metadata FROM neurons WHERE id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY {key('id')} ORDER BY updated_at DESC NULLS LAST, metadata DESC NULLS LAST) = 1),
+own AS (
+  SELECT id, CASE WHEN json_valid(metadata) AND json_type(metadata, '$.tags') = 'ARRAY' THEN list_transform(list_filter(from_json(json_extract(metadata, '$.tags'), '["VARCHAR"]'), lambda t: true), lambda t: {key('t')}) END AS m FROM cur)
+SELECT items.id, array_to_string(list_sort(list_distinct(list_concat(items.tags, coalesce(m, [])))), ',') AS tags FROM items JOIN own ON own.id = items.id""",
     "tag_counts": _I + "SELECT tag, count(*) AS n FROM tg GROUP BY 1",
     "by_tags": _I + "SELECT DISTINCT id FROM tg WHERE tag IN ('schema', 'rack')",
     "by_source": _I + "SELECT source_type, count(*) AS n, sum(access_count)::BIGINT AS accesses, sum(chunk_count)::BIGINT AS chunks FROM items GROUP BY 1",

