@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from memlattice.functions.hashing import digest, pair_digest
@@ -65,8 +65,9 @@ def tree(leaves: DataFrame, tree: str, pos: str, hash: str, algorithm: str = "sh
     size = base.groupBy("tree").agg(F.count("*").alias("n"), F.max_by("hash", "pos").alias("last"))
     size = size.withColumn("width", F.pow(F.lit(2.0), F.ceil(F.log2("n"))).cast("long"))
     pad = size.where("width > n").select("tree", F.lit(0).alias("level"), F.explode(F.sequence(F.col("n"), F.col("width") - 1)).alias("pos"), F.col("last").alias("hash"), "width")
-    level = materialize(base.join(size.select("tree", "width"), "tree").unionByName(pad), "merkle")
-    widest = level.agg(F.max("width")).first()[0] or 0
+    seen = Observation()
+    level = materialize(base.join(size.select("tree", "width"), "tree").unionByName(pad).observe(seen, F.max("width").alias("widest")), "merkle")
+    widest = seen.get.get("widest") or 0
     kind = level.select("tree").limit(0).toArrow().schema.field("tree").type
     shape = f"tree {dict(level.dtypes)['tree']}, level int, pos long, hash string, width long"
     parts, front, at = [level], level, 0

@@ -34,6 +34,13 @@ def similar_to(spark, d):
     return found.select("id", "other", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def similar_all(spark, d):
+    """K4, W1 for every record: its ten most similar others."""
+    e = _e(spark, d)
+    found = similarity.search(e, e, "vec_id", "embedding", 10)
+    return found.select("id", "other", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def duplicate_probe(spark, d):
     """K5 at 0.4: the best match of each queried record, if close enough."""
     e = _e(spark, d)
@@ -218,7 +225,7 @@ def local_vectors(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        vector_topk, similar_to, duplicate_probe, semantic_edges, vector_suite, label_centroids, nearest_centroid, label_cohesion, silhouette, feedback_update,
+        vector_topk, similar_to, similar_all, duplicate_probe, semantic_edges, vector_suite, label_centroids, nearest_centroid, label_cohesion, silhouette, feedback_update,
         pattern_complete, attractor_influence, dominant_attractor, transition_probabilities, attractor_stats, state_summary, state_normalised, state_expected,
         state_decay, state_evolved, state_observed, state_gates, entanglement, kmeans_step, kmeans_sizes, dbscan, single_linkage, hierarchical,
         deterministic_vectors, simple_vectors, local_vectors,
@@ -292,6 +299,7 @@ SELECT id AS vec_id, label AS cluster FROM comp WHERE i = 40""",
     "vector_topk": f"""SELECT b.vec_id, round({COS}, 6) AS score, round(1 - {COS}, 6) AS distance FROM embeddings a, embeddings b
         WHERE a.vec_id = 0 ORDER BY {COS} DESC, b.vec_id LIMIT 10""",
     "similar_to": _TOP + "SELECT id, other, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
+    "similar_all": _TOP.replace("a.vec_id % 20 = 0 AND ", "") + "SELECT id, other, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
     "duplicate_probe": _TOP + "SELECT id, other AS duplicate_of, round(score, 6) AS score FROM r WHERE rank = 1 AND score >= 0.4",
     "semantic_edges": _TOP
     + """, k AS (SELECT * FROM r WHERE rank <= 20 AND score >= 0.4)

@@ -3,6 +3,8 @@ import os
 
 import pytest
 
+from memlattice.plans import collect
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -11,11 +13,13 @@ def test_names_and_sql_agree():
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 100
 
 
+PLANNED, PLANNED_SQL = collect()
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["p2_found", "p3_found", "journal_stats", "forward_infer", "tag_counts", "merkle_proofs"])
-def test_runs_on_small_tables(spark, name):
-    e = importlib.import_module("__spark_entry__")
-    assert e.queries()[name](spark, SF).count() > 0
+@pytest.mark.parametrize("name", sorted(PLANNED))
+def test_runs_and_agrees_on_small_tables(agrees, name):
+    agrees(PLANNED[name], PLANNED_SQL.get(name))
 
 
 def test_snapshots_and_stream(spark, tmp_path):
