@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from memlattice.functions import vectors as V
 from memlattice.functions.keys import current_wide
 from memlattice.operators import attractors as A
-from memlattice.operators import chunks, graph, inference, learning, merkle, search
+from memlattice.operators import chunks, graph, inference, learning, merkle, search, similarity
+from memlattice.operators.index import VectorIndex
 from memlattice.plans.data_problems import key
 from memlattice.plans.graphs import _FIRST
 from memlattice.plans.texts import _TREE
+from memlattice.plans.vectors import _TOP
 from memlattice.sources.tables import read
 
 
@@ -123,6 +125,34 @@ def by_merkle_root(spark, d):
     return search.by_root(r, root).select("id", "merkle_root")
 
 
+def index_search(spark, d):
+    """A stored index of all vectors, opened again and asked for the ten nearest of every record whose id 20
+    divides, all lists probed."""
+    e = read(spark, d, "embeddings")
+    built = VectorIndex(spark).build(e, "vec_id", "embedding")
+    found = VectorIndex(spark, built.path).search(e.where("vec_id % 20 = 0"), "vec_id", "embedding", 10, probes=10**6)
+    return found.select("id", "other", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def index_updates(spark, d):
+    """Even records indexed, odd ones inserted, those that 7 divides deleted, the index compacted; searched as before."""
+    e = read(spark, d, "embeddings")
+    index = VectorIndex(spark).build(e.where("vec_id % 2 = 0"), "vec_id", "embedding")
+    index.insert(e.where("vec_id % 2 = 1"), "vec_id", "embedding")
+    index.delete(e.where("vec_id % 7 = 0").select("vec_id"), "vec_id")
+    index.compact()
+    found = index.search(e.where("vec_id % 20 = 0"), "vec_id", "embedding", 5, probes=10**6)
+    return found.select("id", "other", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def found_with_records(spark, d):
+    """The nearest records of record 0's vector joined with their items, and the access log they leave."""
+    e = read(spark, d, "embeddings")
+    query = [float(x) for x in e.where("vec_id = 0").first()["embedding"]]
+    top = similarity.top_k(e, "vec_id", "embedding", query, 10).select("vec_id", F.round("score", 6).alias("score"))
+    return top.join(read(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "n_chars"), "vec_id").withColumn("accesses", F.lit(1).cast("long"))
+
+
 def search_records(spark, d):
     """SR1: the vectors nearest to that of record 0, refined, with the texts of the same number, their labels as tags."""
     e = read(spark, d, "embeddings")
@@ -171,7 +201,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         merkle_edited, merkle_equal, merkle_batch_verified, word_windows, unified_inference, goal_recommendations, probability_field, inference_stats, connections,
-        by_merkle_root, search_records, search_filtered, ingest_outcome, learned_processes,
+        by_merkle_root, index_search, index_updates, found_with_records, search_records, search_filtered, ingest_outcome, learned_processes,
     )
 }
 
@@ -233,6 +263,13 @@ SELECT count(*) AS causal_relations, round(coalesce(avg(strength), 0), 6) AS ave
     "connections": _FIRST.rstrip()
     + "\nSELECT source_id, target_id, id, edge_type, weight FROM e QUALIFY row_number() OVER (PARTITION BY source_id, target_id ORDER BY created_at NULLS LAST, id) = 1",
     "by_merkle_root": "WITH " + _USABLE + "SELECT id, merkle_root FROM r WHERE merkle_root = (SELECT min(merkle_root) FROM r) ORDER BY created_at, id LIMIT 1",
+    "index_search": _TOP + "SELECT id, other, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
+    "index_updates": _TOP
+    + """, k AS (SELECT id, other, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS rank FROM s WHERE other % 7 <> 0)
+      SELECT id, other, round(score, 6) AS score, rank FROM k WHERE rank <= 5""",
+    "found_with_records": """
+WITH t AS (SELECT b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY s DESC, b.vec_id LIMIT 10)
+SELECT vec_id, round(s, 6) AS score, n_chars, 1::BIGINT AS accesses FROM t JOIN documents ON doc_id = vec_id""",
     "search_filtered": """
 WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 1),
 c AS (SELECT vec_id AS id, label, list_cosine_similarity(embedding::DOUBLE[], q) AS s FROM embeddings, q ORDER BY s DESC, id LIMIT 40),
