@@ -90,6 +90,20 @@ def _wave(pos: int) -> np.ndarray:
     return np.where(i % 2, np.cos(angle), np.sin(angle))
 
 
+def gram_hashes(chars: str) -> list[np.ndarray]:
+    """``string_hash`` of all runs of 3, 4 and 5 characters."""
+    units = np.frombuffer(chars.encode("utf-16-le", "surrogatepass"), "<u2").astype("u8")
+    if len(units) != len(chars):  # characters of two units: run by run
+        return [np.array([string_hash(chars[i : i + n]) for i in range(len(chars) - n + 1)], "i8") for n in (3, 4, 5)]
+    out = []
+    for n in (3, 4, 5):
+        h = np.zeros(max(0, len(units) - n + 1), "u8")
+        for j in range(n):
+            h = h * np.uint64(31) + units[j : j + len(h)]
+        out.append(h.astype("u4").view("i4").astype("i8"))
+    return out
+
+
 def local(text: str, idf: dict[str, float] | None = None, context: np.ndarray | None = None) -> np.ndarray:
     """Half TF-IDF word vectors, a quarter character n-grams, 0.15 positions, 0.1 context or marker families."""
     lowered = text.lower()
@@ -104,10 +118,8 @@ def local(text: str, idf: dict[str, float] | None = None, context: np.ndarray |
         out += 0.5 * (np.stack([word_vector(t) for t in tokens]) * w[:, None]).sum(axis=0) / w.sum()
     grams = np.zeros(DIM)
     chars = re.sub(r"\s+", "_", lowered)
-    for n in (3, 4, 5):
-        for i in range(len(chars) - n + 1):
-            h = string_hash(chars[i : i + n])
-            grams[abs(h) % DIM] += (h >> 16 & 0xFFFF) / 65535 - 0.5
+    for h in gram_hashes(chars):
+        np.add.at(grams, np.abs(h) % DIM, (h >> 16 & 0xFFFF) / 65535 - 0.5)
     reach = np.minimum(np.arange(DIM) + 4, DIM), np.maximum(np.arange(DIM) - 3, 0)
     sums = np.r_[0, np.cumsum(grams)]
     out += 0.25 * (sums[reach[0]] - sums[reach[1]]) / (reach[0] - reach[1])
@@ -133,6 +145,12 @@ def _embedder(f):
     return embed
 
 
+@pandas_udf(ArrayType(FloatType()))
+def fitted_embedding(texts: pd.Series, idf: pd.Series) -> pd.Series:
+    """``local`` with the fitted idf of the text's own terms (a map column)."""
+    return pd.Series([None if t is None else local(t, dict(m) if m is not None else None) for t, m in zip(texts, idf)])
+
+
 #: Column functions: null text gives null.
 deterministic_embedding = _embedder(deterministic)
 simple_embedding = _embedder(simple)

@@ -19,6 +19,31 @@ def kmeans_seeds(df: DataFrame, key: str, vector: str, k: int, seed: int = 0) ->
     return rows.select((F.row_number().over(Window.orderBy("_h", key)) - 1).alias("cluster"), "centroid")
 
 
+#: Rows that seeds are drawn from at most, by key hash.
+SEED_ROWS = 16384
+
+
+def plus_plus_seeds(df: DataFrame, key: str, vector: str, k: int, seed: int = 0) -> DataFrame:
+    """(cluster, centroid): k-means++ seeds, each drawn in proportion to its squared cosine distance to those before,
+    from a bounded sample of rows (all of them up to SEED_ROWS); fewer where no row is apart from the seeds."""
+    n = df.count()
+    at = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30))
+    rows = df.select(F.col(key).alias("id"), V.doubles(vector).alias("v")).where(F.col("v").isNotNull())
+    rows = rows.where(at <= int(min(1.0, SEED_ROWS / max(1, n)) * (1 << 30))) if n > SEED_ROWS else rows
+    table = rows.toArrow().sort_by("id")
+    x = np.array(table.column("v").to_pylist(), "f8").reshape(table.num_rows, -1)
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    rng, chosen = np.random.default_rng(seed), []
+    if len(x):
+        chosen = [int(rng.integers(len(x)))]
+        cost = np.maximum(1 - u @ u[chosen[0]], 0) ** 2
+        while len(chosen) < k and cost.sum() > 1e-18:
+            i = int(rng.choice(len(x), p=cost / cost.sum()))
+            chosen.append(i)
+            cost = np.minimum(cost, np.maximum(1 - u @ u[i], 0) ** 2)
+    return df.sparkSession.createDataFrame([(i, x[c].tolist()) for i, c in enumerate(chosen)], "cluster int, centroid array<double>")
+
+
 def kmeans_step(df: DataFrame, key: str, vector: str, centres: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(assigned rows, new centres): nearest centre by cosine, then plain means; an empty cluster keeps its centre."""
     at = nearest(df, key, vector, centres, "cluster")
@@ -28,11 +53,11 @@ def kmeans_step(df: DataFrame, key: str, vector: str, centres: DataFrame) -> tup
 
 
 def kmeans(df: DataFrame, key: str, vector: str, k: int, rounds: int = 20, tolerance: float = 1e-4, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
-    """(assignments, centres, rounds used); raises for fewer rows than ``k``. The k centres pass the driver each round."""
+    """(assignments, centres, rounds used); raises for fewer different rows than ``k``; seeds by k-means++. The k centres pass the driver each round."""
     rows = materialize(df.select(key, V.doubles(vector).alias(vector)), "kmeans")
-    centres = materialize(kmeans_seeds(rows, key, vector, k, seed), "centres")
+    centres = materialize(plus_plus_seeds(rows, key, vector, k, seed), "centres")
     if centres.count() < k:
-        raise ValueError("fewer rows than clusters")
+        raise ValueError("fewer different rows than clusters")
     used = 0
     for used in range(1, rounds + 1):
         _, new = kmeans_step(rows, key, vector, centres)

@@ -120,3 +120,21 @@ def dopamine(signals: DataFrame, session: str, at: str, kind: str) -> DataFrame:
     ordered = maps.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("_b", "a", "b", "lo", "hi"))).alias("_m"), F.sum("n").alias("n"))
     level = F.aggregate("_m", F.lit(0.5), lambda x, m: F.least(m["hi"], F.greatest(m["lo"], m["a"] * x + m["b"])))
     return ordered.select(session, level.alias("level"), "n")
+
+
+def deliveries(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """(subscriber, event_id, ts, event_type): what each subscription (subscriber, event_type, since, once) receives.
+
+    ``event_type`` null or ``*`` takes every event; earlier events than ``since`` aren't
+    delivered; ``once`` ends a subscription with its first event (by ts, then id). An
+    event that several subscriptions of a subscriber take is delivered once.
+    """
+    s = subscriptions.select("subscriber", F.nullif(F.trim("event_type"), F.lit("*")).alias("_type"), "since", F.coalesce("once", F.lit(False)).alias("once"), F.monotonically_increasing_id().alias("_s"))
+    s = F.broadcast(s)  # subscriptions are configuration, a row each
+    e = events.select("event_id", "ts", "event_type")
+    typed = e.join(s.where("_type IS NOT NULL"), F.col("event_type") == F.col("_type"))
+    every = e.join(s.where("_type IS NULL"))
+    got = typed.unionByName(every).where("since IS NULL OR ts >= since")
+    first = F.row_number().over(Window.partitionBy("_s").orderBy("ts", "event_id"))
+    one = got.where("once").withColumn("_r", first).where("_r = 1").drop("_r")
+    return got.where("NOT once").unionByName(one).select("subscriber", "event_id", "ts", "event_type").distinct()

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlattice.functions import text as T
+from memlattice.functions.embedding import fitted_embedding
 from memlattice.functions.vectors import cosine
+from memlattice.operators.similarity import centroids
 from memlattice.session import materialize
 
 #: Extracts a pattern needs, least importance.
@@ -56,6 +58,48 @@ def tfidf(texts: DataFrame, key: str, text: str, frequencies: DataFrame | None =
     return j.select(key, "term", (F.col("_share") * F.coalesce("idf", F.lit(math.log(100)))).alias("tfidf"))
 
 
+def fitted_vectors(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, embedding): local embeddings whose word weights are fitted on all ``texts``.
+
+    Each text takes along the idf of its own terms, so no task holds the vocabulary. Null
+    texts have a null embedding, texts without terms that of their characters.
+    """
+    counts = term_counts(texts, key, text)
+    idf = document_frequency(texts, key, text, counts).select("term", "idf")
+    own = counts.select(key, F.explode("terms.term").alias("term")).join(idf, "term").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("_idf"))
+    return texts.select(key, text).join(own, key, "left").select(key, fitted_embedding(text, "_idf").alias("embedding"))
+
+
+def learned_patterns(found: DataFrame, batch: str, key: str, vector: str, old: DataFrame, least: float = 0.7, same: float = 0.85, importance: str = "importance") -> DataFrame:
+    """Patterns (id, centroid, n, avg_importance, confidence) after extracts (batch, key, vector, importance, keywords).
+
+    Each batch with three extracts or more is clustered; a cluster of three or more is a
+    pattern: if a pattern of ``old`` is more similar than ``same`` its centroid is replaced
+    and its instances add up, else the cluster is a new one.
+    """
+    enough = found.groupBy(batch).count().where(F.col("count") >= INSTANCES).select(batch)
+    rows = found.join(enough, batch, "left_semi")
+    at = rows.join(extract_clusters(rows, batch, key, vector, least), [batch, key])
+    name = F.concat_ws("#", F.col(batch).cast("string"), F.col("cluster").cast("string"))
+    at = at.withColumn("id", name)
+    size = at.groupBy("id").agg(F.count("*").alias("n"), F.avg(importance).alias("avg_importance")).where(F.col("n") >= INSTANCES)
+    centre = centroids(at.join(size.select("id"), "id", "left_semi"), "id", vector).select("id", "centroid")
+    new = size.join(centre, "id")
+    fate = new.join(merged_patterns(old.select("id", "centroid"), new.select("id", "centroid"), same), "id")
+    into = fate.where("merged_into IS NOT NULL").groupBy(F.col("merged_into").alias("id")).agg(F.min_by("centroid", "id").alias("_c"), F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("avg_importance")).alias("_i"))
+    kept = old.join(into, "id", "left")
+    total = F.col("n") + F.coalesce("_n", F.lit(0))
+    mean = (F.col("n") * F.col("avg_importance") + F.coalesce("_i", F.lit(0.0))) / total
+    kept = kept.select("id", F.coalesce("_c", "centroid").alias("centroid"), total.alias("n"), mean.alias("avg_importance"))
+    both = kept.unionByName(fate.where("merged_into IS NULL").select("id", "centroid", "n", "avg_importance"))
+    return both.withColumn("confidence", pattern_confidence(F.col("avg_importance"), F.col("n")))
+
+
+def explained(confidence: Column, kind: Column, source: Column, target: Column) -> Column:
+    """A sentence for an inferred link."""
+    return F.format_string("%s leads to %s (%s, confidence %.0f%%)", source, target, F.lower(kind), confidence * 100)
+
+
 def pattern_confidence(importance: Column, n: Column, least: int = INSTANCES) -> Column:
     """min(1, 0.7 · mean importance + min(0.3, n / 20)); 0 below ``least`` instances."""
     return F.when(n < least, 0.0).otherwise(F.least(F.lit(1.0), 0.7 * importance + F.least(F.lit(0.3), n / 20)))

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from memlattice.functions import vectors as V
 from memlattice.functions.keys import current_wide
 from memlattice.operators import attractors as A
-from memlattice.operators import chunks, graph, inference, learning, merkle, search, similarity
+from memlattice.operators import chunks, events, graph, inference, learning, merkle, search, similarity
 from memlattice.operators.index import VectorIndex
 from memlattice.plans.data_problems import key
 from memlattice.plans.graphs import _FIRST
 from memlattice.plans.texts import _TREE
 from memlattice.plans.vectors import _TOP
+from memlattice.session import materialize
 from memlattice.sources.tables import read
 
 
@@ -197,11 +198,38 @@ def learned_processes(spark, d):
     return stats.agg(F.count("*").alias("n_processes"), F.sum("executions").alias("executions"), F.round(F.sum(F.col("executions") * F.col("success_rate")), 6).alias("successes"))
 
 
+def fitted_vectors(spark, d):
+    """E3 with fitted word weights: local embeddings of all texts."""
+    return learning.fitted_vectors(read(spark, d, "documents"), "doc_id", "text")
+
+
+def learned_patterns(spark, d):
+    """L2: the records of each label as extracts of a batch, learned twice: the second time every pattern is known."""
+    e = read(spark, d, "embeddings").select(F.col("label").alias("batch"), "vec_id", V.doubles("embedding").alias("vec"), ((F.col("vec_id") % 10) / 10).alias("importance"))
+    none = spark.createDataFrame([], "id string, centroid array<double>, n long, avg_importance double")
+    once = materialize(learning.learned_patterns(e, "batch", "vec_id", "vec", none, 0.3), "patterns")
+    again = learning.learned_patterns(e, "batch", "vec_id", "vec", once.drop("confidence"), 0.3)
+    return again.agg(F.count("*").alias("n_patterns"), F.sum("n").alias("n_extracts")).join(once.agg(F.count("*").alias("n_first"), F.sum("n").alias("n_first_extracts")))
+
+
+def delivered_events(spark, d):
+    """ST1: events delivered to three subscriptions: a type, every event since a day, and one event only."""
+    subscriptions = spark.createDataFrame([("typed", "click", None, False), ("late", "*", "2024-01-20", False), ("first", None, None, True)], "subscriber string, event_type string, day string, once boolean")
+    subscriptions = subscriptions.withColumn("since", F.col("day").cast("timestamp_ntz"))
+    return events.deliveries(read(spark, d, "events"), subscriptions).groupBy("subscriber", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+
+
+def explained_links(spark, d):
+    """A sentence for every link that forward inference gives."""
+    f = inference.forward(graph.clean_edges(read(spark, d, "synapses")))
+    return f.select("id", "inferred", learning.explained(F.round("confidence", 2), F.col("edge_type"), F.col("id"), F.col("inferred")).alias("explanation"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         merkle_edited, merkle_equal, merkle_batch_verified, word_windows, unified_inference, goal_recommendations, probability_field, inference_stats, connections,
-        by_merkle_root, index_search, index_updates, found_with_records, search_records, search_filtered, ingest_outcome, learned_processes,
+        by_merkle_root, index_search, index_updates, found_with_records, search_records, search_filtered, ingest_outcome, learned_processes, fitted_vectors, learned_patterns, delivered_events, explained_links,
     )
 }
 
@@ -270,6 +298,14 @@ SELECT count(*) AS causal_relations, round(coalesce(avg(strength), 0), 6) AS ave
     "found_with_records": """
 WITH t AS (SELECT b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY s DESC, b.vec_id LIMIT 10)
 SELECT vec_id, round(s, 6) AS score, n_chars, 1::BIGINT AS accesses FROM t JOIN documents ON doc_id = vec_id""",
+    "delivered_events": """
+WITH d AS (
+  SELECT 'typed' AS subscriber, event_id, event_type FROM events WHERE event_type = 'click'
+  UNION ALL SELECT 'late', event_id, event_type FROM events WHERE ts >= '2024-01-20'
+  UNION ALL (SELECT 'first', event_id, event_type FROM events ORDER BY ts, event_id LIMIT 1))
+SELECT subscriber, event_type, count(*) AS n, min(event_id) AS first_event FROM d GROUP BY 1, 2""",
+    "explained_links": _FIRST
+    + """SELECT id, inferred, id || ' leads to ' || inferred || ' (' || lower(edge_type) || ', confidence ' || round(round(confidence, 2) * 100)::BIGINT || '%)' AS explanation FROM inf WHERE direction = 'forward'""",
     "search_filtered": """
 WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 1),
 c AS (SELECT vec_id AS id, label, list_cosine_similarity(embedding::DOUBLE[], q) AS s FROM embeddings, q ORDER BY s DESC, id LIMIT 40),
