@@ -12,7 +12,7 @@ from memlattice.sources.tables import read
 
 
 def evolution_cycle(spark, d):
-    """One cycle; label attractors of even label are stale."""
+    """O5 in part (no interference, no learning), P10, R4, F13: one cycle; label attractors of even label are stale."""
     a = _attractors(spark, d).withColumn("updated_at", F.when(F.col("id").cast("int") % 2 == 0, F.lit("2024-01-01").cast("timestamp")).otherwise(F.lit("2025-01-01").cast("timestamp")))
     a = a.withColumn("strength", F.when(F.col("id") == "4", 0.104).otherwise(F.col("strength")))
     e = graph.clean_edges(read(spark, d, "synapses"))
@@ -20,7 +20,7 @@ def evolution_cycle(spark, d):
 
 
 def interaction_learning(spark, d):
-    """Documents as interactions (first half of the text the input): processes with their success."""
+    """L5, O2 in part: documents as interactions (first half of the text the input): processes with their success."""
     t = read(spark, d, "documents").where("text IS NOT NULL")
     half = F.floor(F.length("text") / 2).cast("int")
     i = t.select(F.col("doc_id").alias("id"), F.substring("text", F.lit(1), half).alias("input"), F.substring("text", half + 1, F.length("text")).alias("output"), (F.col("doc_id") % 3 > 0).alias("success"), F.col("n_chars").cast("double").alias("duration"))

@@ -215,7 +215,7 @@ def meeting_paths(spark, d):
 
 
 def unified_infer(spark, d):
-    """O1, 3.C: forward, backward and recommendations of every record, with its state of attraction by label."""
+    """O1 in part: counts of forward and backward inferences and recommendations; unified_inference has the whole."""
     both = inference.infer(_edges(spark, d))
     rec = inference.recommendations(both)
     n = both.groupBy("id").agg(F.count_if(F.col("direction") == "forward").alias("n_forward"), F.count_if(F.col("direction") == "backward").alias("n_backward"))

@@ -47,7 +47,7 @@ def stream_progress(spark, d):
 
 
 def snapshot_roundtrip(spark, d):
-    """Items saved and loaded by name."""
+    """A table saved and loaded by name."""
     s = connectors.SnapshotStore(spark, os.path.join(shared_dir(spark), f"snap-{uuid.uuid4().hex[:10]}"))
     s.save("customers", read(spark, d, "customer"))
     return s.load("customers").select("c_custkey", "c_name")
