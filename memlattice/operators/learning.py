@@ -144,17 +144,22 @@ def same_process(runs: DataFrame, processes: DataFrame) -> DataFrame:
     """(run_id, process_id): for each run (run_id, task_type, steps) the most similar process of its task type:
     lengths differ by 2 at most, Jaccard above 0.7; ties by process.
 
-    Sets that alike share one of their first n - ceil(0.7 n) + 1 actions in any fixed
-    order, so runs meet only processes of their task type with such an action; those
-    without actions meet each other.
+    Similarity rests on the task type, the set of actions and the number of steps alone, so
+    only the distinct ones of these meet, each set of processes by its smallest id. Sets that
+    alike share one of their first n - ceil(0.7 n) + 1 actions in any fixed order, so they
+    meet only those of their task type with such an action; those without actions meet each
+    other.
     """
-    low = F.array_sort(F.array_distinct(F.transform("steps", F.lower)))
-    first = F.slice(low, F.lit(1), (F.size(low) - F.ceil(F.size(low) * F.lit(ALIKE)) + 1).cast("int"))
-    keyed = lambda d, name: d.select(name, "task_type", "steps", F.explode(F.when(F.size(low) > 0, first).otherwise(F.array(F.lit("")))).alias("_k"))
-    p = keyed(processes, "process_id").select("process_id", "task_type", F.col("steps").alias("_s"), "_k")
-    j = keyed(runs, "run_id").join(p, ["task_type", "_k"]).where(F.abs(F.size("steps") - F.size("_s")) <= APART)
-    j = j.withColumn("_j", jaccard(F.col("steps"), F.col("_s"))).where(F.col("_j") > ALIKE)
-    return j.groupBy("run_id").agg(F.min_by("process_id", F.struct(-F.col("_j"), "process_id")).alias("process_id"))
+    of = ["task_type", "_a", "_n"]
+    shaped = lambda d: d.withColumn("_a", F.array_sort(F.array_distinct(F.transform("steps", F.lower)))).withColumn("_n", F.size("steps"))
+    first = F.slice("_a", F.lit(1), (F.size("_a") - F.ceil(F.size("_a") * F.lit(ALIKE)) + 1).cast("int"))
+    keyed = lambda d: d.withColumn("_k", F.explode(F.when(F.size("_a") > 0, first).otherwise(F.array(F.lit("")))))
+    p = keyed(shaped(processes).groupBy(of).agg(F.min("process_id").alias("process_id"))).select("process_id", "task_type", F.col("_a").alias("_b"), F.col("_n").alias("_m"), "_k")
+    r = shaped(runs).select("run_id", *of)
+    j = keyed(r.select(of).distinct()).join(p, ["task_type", "_k"]).where(F.abs(F.col("_n") - F.col("_m")) <= APART)
+    j = j.withColumn("_j", jaccard(F.col("_a"), F.col("_b"))).where(F.col("_j") > ALIKE)
+    best = j.groupBy(of).agg(F.min(F.struct((-F.col("_j")).alias("_j"), "process_id")).alias("_p"))
+    return r.join(best, of).groupBy("run_id").agg(F.min("_p").alias("_p")).select("run_id", "_p.process_id")
 
 
 def learned_processes(processes: DataFrame, stats: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -163,10 +168,12 @@ def learned_processes(processes: DataFrame, stats: DataFrame, runs: DataFrame) -
     A run like a known process adds to its executions, success rate and mean duration;
     any other is a new process, named after the first run of its task type and steps.
     """
-    known = same_process(runs, processes)
+    known = same_process(runs, processes).withColumnRenamed("process_id", "_known")
     steps = F.array_join(F.transform("steps", F.lower), ">")
-    named = runs.join(known, "run_id", "left").withColumn("process_id", F.coalesce("process_id", F.min("run_id").over(Window.partitionBy("task_type", steps)).cast("string")))
-    new = named.join(known.select("run_id"), "run_id", "left_anti").groupBy("process_id").agg(F.min("task_type").alias("task_type"), F.min_by("steps", "run_id").alias("steps"))
+    names = runs.groupBy(F.col("task_type").alias("_t"), steps.alias("_w")).agg(F.min("run_id").cast("string").alias("_first"))
+    named = runs.join(known, "run_id", "left").join(names, F.col("task_type").eqNullSafe(F.col("_t")) & steps.eqNullSafe(F.col("_w")), "left")
+    named = materialize(named.withColumn("process_id", F.coalesce("_known", "_first")).drop("_t", "_w", "_first"), "named")
+    new = named.where("_known IS NULL").groupBy("process_id").agg(F.min("task_type").alias("task_type"), F.min_by("steps", "run_id").alias("steps"))
     now = process_stats(named).select("process_id", F.col("executions").alias("_n"), F.col("success_rate").alias("_s"), F.col("avg_duration").alias("_d"))
     j = stats.join(now, "process_id", "full")
     n, m = F.coalesce("executions", F.lit(0)), F.coalesce("_n", F.lit(0))

@@ -190,6 +190,7 @@ def learned_processes(spark, d):
     runs = e.groupBy(run.alias("run_id"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.lit("day").alias("task_type")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("steps"), (F.sum("value") > 50).alias("success"), F.sum("value").alias("duration")
     )
+    runs = materialize(runs, "runs")
     middle = e.agg(F.date_format(F.percentile_approx(F.col("ts").cast("timestamp"), 0.5), "yyyy-MM-dd").alias("m")).first()["m"]
     none = spark.createDataFrame([], "process_id string, task_type string, steps array<string>")
     zero = spark.createDataFrame([], "process_id string, executions long, success_rate double, avg_duration double")

@@ -137,6 +137,22 @@ def test_learning_flow(spark):
     assert 7 <= n <= 12 and round(after["known"].avg_importance, 6) == round((4 + 0.5 * (n - 4)) / n, 6) and sum(r.n for r in after.values()) <= 20 and len(after) >= 2
 
 
+def test_runs_of_one_shape_meet_once(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+
+    def jaccard(a, b):
+        calls.add(1)
+        x, y = set(a), set(b)
+        return len(x & y) / len(x | y)
+
+    monkeypatch.setattr(learning, "jaccard", F.udf(jaccard, "double"))
+    steps = [["a", "b", "C"], ["B", "a", "c", "c"], ["x", "y"]]
+    runs = spark.createDataFrame([(f"r{i:03}", "t", steps[i % 3]) for i in range(300)], "run_id string, task_type string, steps array<string>")
+    processes = spark.createDataFrame([(f"p{i:03}", "t", steps[i % 2]) for i in range(5, 305)], "process_id string, task_type string, steps array<string>")
+    got = {r.run_id: r.process_id for r in learning.same_process(runs, processes).collect()}
+    assert got == {f"r{i:03}": "p005" for i in range(300) if i % 3 < 2} and 0 < calls.value < 100
+
+
 def test_kmeans_plus_plus(spark):
     c = vectors(4, 16, 5)
     rng = np.random.default_rng(1)
