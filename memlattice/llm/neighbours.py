@@ -14,10 +14,17 @@ from pyspark.sql import functions as F
 
 from memlattice.functions.keys import bounded
 from memlattice.llm.vectors import DIM, lloyd, matrix, seeds, unit
-from memlattice.session import materialize
+from memlattice.session import discard, materialize
 
 #: Rows that centroids and codebooks are fitted on, and rows for each list where that is more; every row is indexed.
 FIT_ROWS, FIT_PER_LIST = 16384, 4
+#: Four times as many a list as long as they are no more than this.
+FIT_MORE = 65536
+#: From so many vectors on small groups have no list of their own: what the lists give is refined by the
+#: neighbours of neighbours, in ROUNDS rounds at most, until one brings less than ENOUGH of the pairs there are.
+REFINE_FROM, ROUNDS, ENOUGH = 65536, 3, 0.005
+#: Rows around a centre that are compared at once.
+AROUND = 256
 #: Lists at most; up to 4.3 billion vectors their number grows with the root of the rows.
 MAX_LISTS = 131072
 #: Rows of a list that one group holds in memory; longer lists are split into blocks.
@@ -243,7 +250,10 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.5, lists: int | Non
     among the rows whose table sum may reach it. Lists longer than BLOCK are split, each
     block answering for itself, so no group outgrows memory whatever the skew. Centroids
     are fitted on a bounded sample of rows by id hash; ``lists`` defaults to twice the
-    root of the row count. No vectors give no rows; equal vectors tie by id.
+    root of the row count. No vectors give no rows; equal vectors tie by id. The more
+    vectors, the fewer of them the centroids are fitted on, and the members of a group too
+    small for a centroid go to different lists: from REFINE_FROM vectors on the neighbours
+    of neighbours are compared too (``refined``).
     """
     # 128 bits stand for a vector; the vectors themselves aren't shuffled for this
     same = materialize(vectors.select("id", F.xxhash64("vec").alias("s1"), F.xxhash64(F.lit(7), "vec").alias("s2")), "same")
@@ -255,8 +265,12 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.5, lists: int | Non
     v = vectors.select("id", "vec")
     if n_further:
         v = v.join(bounded(further, n_further), "id", "left_anti")
+    n -= n_further  # only these are indexed, and only they can be in the sample
+    refine = n >= REFINE_FROM
+    if refine:
+        v = materialize(v, "vectors")
     lists = lists or max(1, min(MAX_LISTS, int(2 * n**0.5)))
-    share = min(1.0, max(FIT_ROWS, FIT_PER_LIST * lists) / max(n, 1))
+    share = min(1.0, max(FIT_ROWS, min(FIT_MORE, 4 * FIT_PER_LIST * lists), FIT_PER_LIST * lists) / max(n, 1))
     sample = v.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     index = fit(sample, lists, n, dim=dim)
     found = (
@@ -265,11 +279,117 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.5, lists: int | Non
         .sortWithinPartitions("list", "block", "kind")
         .mapInArrow(_search(index, k, least, rerank, dim), "id string, neighbour string, cosine double")
     )
+    if refine:
+        found = refined(_best(found, k), v, k, least, dim)
     if not n_further:
         return _best(found, k)
     return _best(_copies(_best(found, k), members, k), k)
 
 
+def _small(dim: int):
+    """A byte a value of the unit vector, and the step that it stands for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = unit(matrix(b.column("vec"), dim), "f4")
+            step = np.abs(x).max(axis=1, keepdims=True, initial=1e-9) / np.float32(127)
+            codes = np.rint(x / step).astype("i1")
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(step[:, 0])], names=["id", "code", "step"])
+
+    return run
+
+
+def _around(dim: int):
+    """Of the rows around each centre, the pairs (a, b) that may be better than what a or b has."""
+
+    def columns(b: pa.RecordBatch) -> list[np.ndarray]:
+        h = b.column("h").to_numpy()
+        has, n = b.column("has").flatten().to_numpy(), np.asarray(pc.list_value_length(b.column("has")))
+        known = np.repeat(h[:, None], n.max(initial=1), axis=1)
+        known[np.repeat(np.arange(len(h)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = has
+        code = np.frombuffer(b"".join(b.column("code").to_pylist()), "i1").reshape(-1, dim)
+        return [b.column("id").to_numpy(zero_copy_only=False), code, b.column("step").to_numpy(), b.column("bar").to_numpy(), h, known]
+
+    def better(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        width = max(p[5].shape[1] for p in parts)
+        parts = [[*p[:5], np.pad(p[5], ((0, 0), (0, width - p[5].shape[1])), "edge")] for p in parts] if len(parts) > 1 else parts
+        ids, code, step, bar, h, known = (np.concatenate(c) for c in zip(*parts)) if len(parts) > 1 else parts[0]
+        x = code * step[:, None]
+        # four standard deviations of what rounding to bytes leaves of the two
+        wanted = x @ x.T + np.float32(1.2) * (step[:, None] + step) >= bar[:, None]
+        wanted &= ~(h[None, :, None] == known[:, None, :]).any(axis=2)
+        a, b = np.nonzero(np.triu(wanted | wanted.T, 1))
+        return ids[a], ids[b]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, parts, size, out = None, [], 0, []
+
+        def table() -> pa.RecordBatch:
+            a, b = ([np.concatenate(x) for x in zip(*out)] if out else ([], []))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+
+        for batch in batches:
+            c = batch.column("centre").to_numpy(zero_copy_only=False)
+            all_ = columns(batch)
+            cuts = np.flatnonzero(np.r_[True, c[1:] != c[:-1], True]).tolist() if len(c) else [0]
+            for a, z in zip(cuts, cuts[1:]):
+                for i in range(a, z, AROUND):
+                    if parts and (c[a] != centre or size >= AROUND):
+                        if size > 1:
+                            out.append(better(parts))
+                        parts, size = [], 0
+                    centre = c[a]
+                    parts.append([x[i : min(i + AROUND, z)] for x in all_])
+                    size += len(parts[-1][0])
+            yield table()
+        if size > 1:
+            out.append(better(parts))
+        yield table()
+
+    return run
+
+
+def _cosines(dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 2048):
+                p = whole.slice(i, 2048)
+                c = np.einsum("ij,ij->i", unit(matrix(p.column("vec_a"), dim)), unit(matrix(p.column("vec_b"), dim))).round(6)
+                yield pa.RecordBatch.from_arrays([p.column("a"), p.column("b"), pa.array(c)], names=["id", "neighbour", "cosine"])
+
+    return run
+
+
+def refined(found: DataFrame, v: DataFrame, k: int, least: float, dim: int = DIM) -> DataFrame:
+    """``found`` (id, neighbour, cosine) with what the neighbours of neighbours add.
+
+    What a row is found by counts for it too. The rows around a centre, those it has or
+    that have it, are compared by vectors of a byte a value; pairs that may be better than
+    what one of them has are checked exactly. ``v`` (id, vec) has been written.
+    """
+    codes = materialize(v.mapInArrow(_small(dim), "id string, code binary, step float"), "codes")
+    mirrored = lambda d: d.unionByName(d.select(F.col("neighbour").alias("id"), F.col("id").alias("neighbour"), "cosine")).distinct()
+    pairs = lambda d: _best(mirrored(d.select("id", "neighbour", "cosine")), k).select("id", "neighbour", "cosine")
+    found = materialize(pairs(found), "found")
+    for _ in range(ROUNDS):
+        bars = found.groupBy("id").agg(F.collect_list(F.xxhash64("neighbour")).alias("has"), F.when(F.count("*") < k, least).otherwise(F.min("cosine")).cast("float").alias("bar"))
+        cards = codes.join(bars, "id").withColumn("h", F.xxhash64("id"))
+        sides = found.select(F.col("id").alias("centre"), F.col("neighbour").alias("id")).unionByName(found.select(F.col("neighbour").alias("centre"), "id")).distinct()
+        rows = sides.join(cards, "id").repartition("centre").sortWithinPartitions("centre")
+        maybe = rows.mapInArrow(_around(dim), "a string, b string").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        maybe = materialize(maybe, "maybe")
+        both = maybe.join(v.select(F.col("id").alias("a"), F.col("vec").alias("vec_a")), "a").join(v.select(F.col("id").alias("b"), F.col("vec").alias("vec_b")), "b")
+        more = both.mapInArrow(_cosines(dim), "id string, neighbour string, cosine double").where(F.col("cosine") >= least)
+        old, found = found, materialize(pairs(found.unionByName(more)), "found")
+        n, new = found.count(), found.join(old, ["id", "neighbour"], "left_anti").count()
+        discard(old)
+        discard(maybe)
+        if new < ENOUGH * n:
+            break
+    return found
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

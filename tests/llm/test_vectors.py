@@ -184,3 +184,21 @@ def test_near_duplicate_vectors(spark, data):
     assert {(r.key_a, r.key_b) for r in D.all_pairs(links, members).collect()} == want and len(want) >= 15
     g = {r.key: r for r in D.groups(links, members).collect()}
     assert len(g) == len(ids) and max(r.n_copies for r in g.values()) == 6
+
+
+def test_neighbours_of_neighbours(spark, monkeypatch):
+    """Groups of eight, of which hardly any is in the sample that centroids are fitted on."""
+    for name, value in (("REFINE_FROM", 0), ("FIT_ROWS", 64), ("FIT_PER_LIST", 0), ("FIT_MORE", 0)):
+        monkeypatch.setattr(N, name, value, raising=False)
+    rng = np.random.default_rng(4)
+    c = np.repeat(rng.standard_normal((250, 96)), 8, axis=0)
+    x = (c + 0.5 * rng.standard_normal(c.shape)).astype("<f4")
+    u = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1, keepdims=True)
+    s = (u @ u.T).round(6)
+    np.fill_diagonal(s, -1)
+    want = {(f"n{a:04}", f"n{b:04}"): float(s[a, b]) for a in range(len(s)) for b in np.argsort(-s[a], kind="stable")[:5] if s[a, b] >= 0.5}
+    df = spark.createDataFrame([(f"n{i:04}", v.tobytes()) for i, v in enumerate(x)], "id string, vec binary")
+    got = {(r.id, r.neighbour): r.cosine for r in N.nearest(df, lists=40, probes=4, dim=96).collect()}
+    share = len(want.keys() & got.keys()) / len(want)
+    assert share > 0.95, f"SHARE {share}"
+    assert all(abs(got[p] - want[p]) < 2e-6 for p in want.keys() & got.keys())
