@@ -11,6 +11,7 @@ from memlattice.functions import vectors as V
 from memlattice.operators import attractors as A
 from memlattice.operators import inference, similarity, store
 from memlattice.operators.graph import peer_weights
+from memlattice.session import materialize
 
 #: Records from which on a query is refined, boosts of the score.
 REFINED_FROM = 20
@@ -81,13 +82,13 @@ def ingested(records: DataFrame, new: DataFrame, duplicate: float = 0.95, link:
     records of at least ``link`` (None: none). outcome: (id, action, record), action
     ``created`` or ``merged``. Rows without vector are neither.
     """
-    n = new.where("embedding IS NOT NULL").withColumn("_h", F.xxhash64("embedding"))
+    # narrow and written: vectors that a function makes aren't made again for each use
+    n = materialize(new.select("id", "tags", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding")).alias("_h")), "hashed").where("_h IS NOT NULL")
     first = n.groupBy("_h").agg(F.min("id").alias("_first"))
     n = n.join(first, "_h")
-    probe = n.where("id = _first").select("id", "embedding")
-    hit = similarity.search(probe, records.select("id", "embedding"), "id", "embedding", 1, duplicate, exclude_self=False).select(F.col("id").alias("_first"), F.col("other").alias("_record"))
-    outcome = n.join(hit, "_first", "left").select("id", "tags", "embedding", "_first", F.coalesce("_record", "_first").alias("record"), F.when(F.col("_record").isNotNull() | (F.col("id") != F.col("_first")), "merged").otherwise("created").alias("action"))
-    created = outcome.where("action = 'created'").select("id", "embedding", "tags")
+    hit = similarity.closest(new.select("id", "embedding"), records.select("id", "embedding"), "id", "embedding", duplicate).select("id", F.col("other").alias("_record"))
+    outcome = n.join(hit, "id", "left").select("id", "tags", F.coalesce("_record", "_first").alias("record"), F.when(F.col("_record").isNotNull() | (F.col("id") != F.col("_first")), "merged").otherwise("created").alias("action"))
+    created = new.select("id", "embedding", "tags").join(outcome.where("action = 'created'").select("id"), "id", "left_semi")
     extra = outcome.where("action = 'merged'").groupBy("record").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("tags", F.array().cast("array<string>")))))).alias("_more"))
     both = records.select("id", "embedding", "tags").unionByName(created)
     after = both.join(extra, both["id"] == extra["record"], "left").select("id", "embedding", store.merged_tags(F.col("tags"), F.col("_more")).alias("tags"))

@@ -1,4 +1,5 @@
 import hashlib
+import math
 
 import numpy as np
 import pytest
@@ -162,3 +163,39 @@ def test_kmeans_plus_plus(spark):
     for r in at.collect():
         groups.setdefault(r.cluster, set()).add(r.id % 4)
     assert len(groups) == 4 and all(len(g) == 1 for g in groups.values())
+
+
+def test_closest(spark, monkeypatch):
+    from memlattice.operators import similarity
+
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((400, 48)) + 0.5
+    base[300:] = base[rng.integers(0, 100, 100)]  # equal vectors, further copies and rows nearly alike
+    base[200:300] = base[:100] + 0.12 * rng.standard_normal((100, 48))
+    ask = np.concatenate([base[:60], base[60:160] + rng.uniform(0.05, 0.6, (100, 1)) * rng.standard_normal((100, 48)), 3 * base[5:9], rng.standard_normal((40, 48))])
+    ask = np.concatenate([ask, ask[-60:]])
+    rows = [(f"b{i:03}", v.tolist()) for i, v in enumerate(base)] + [("z", [0.0] * 48), ("n", None), ("nan", [math.nan] * 48), ("short", [1.0] * 7), (None, base[0].tolist()), ("b001", base[1].tolist())]
+    asked = [(f"q{i:03}", v.tolist()) for i, v in enumerate(ask)] + [("z", [0.0] * 48), ("n", None), ("h", [1.0, None] * 24), ("short", [1.0] * 7), ("e", []), ("q000", ask[0].tolist())]
+    old, new = (spark.createDataFrame(x, "id string, v array<double>") for x in (rows, asked))
+    found = similarity.search(new, old, "id", "v", 1, 0.95, exclude_self=False)
+    want = {(r.id, r.other) for r in found.collect()}
+    monkeypatch.setattr(similarity, "SLICE", 150)
+    got = similarity.closest(new, old, "id", "v", 0.95).collect()
+    assert {(r.id, r.other) for r in got} == want and len(got) == len(want) > 120
+    assert similarity.closest(new.limit(0), old, "id", "v", 0.95).count() == 0 == similarity.closest(new, old.limit(0), "id", "v", 0.95).count()
+
+
+def test_ingestion_shuffles_no_vectors(spark):
+    """The vectors of both sides are 3.7 MB; their block products sent each of them at least once."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(True).head().totalShuffleWrite()
+
+    x = vectors(1000, 384)
+    rows = spark.createDataFrame([(f"r{i:04}", v.tolist(), ["t"]) for i, v in enumerate(np.concatenate([x, x[:200]]))], "id string, embedding array<double>, tags array<string>")
+    before = written()
+    outcome, _, _ = search.ingested(rows.where("id < 'r0600'"), rows.where("id >= 'r0600'"), link=None)
+    assert {r.action: r.n for r in outcome.groupBy("action").agg(F.count("*").alias("n")).collect()} == {"created": 400, "merged": 200}
+    assert written() - before < 1_000_000
